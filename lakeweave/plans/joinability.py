@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeweave.operators.graph import (
+    dataset_edges,
+    dataset_nodes,
+    label_table,
+    top_hubs,
+    top_pairs,
+)
 from lakeweave.operators.joinability import joinable_pairs, rank_pairs
 from lakeweave.operators.sketch import build_sketches
+from lakeweave.operators.stats import equal_width_histogram
 from lakeweave.session import materialize
+from lakeweave.sources.lake import boolean_columns, cells_of_rows, read_rows, without_columns
 from lakeweave.sources.tables import cells_from_tables, read_tables
 
 
@@ -27,3 +36,23 @@ def lake_pairs(
     """Joinable column pairs of the named tables, strongest first."""
     sketches = lake_sketches(spark, directory, names, **options)
     return rank_pairs(joinable_pairs(sketches, js_threshold, jc_threshold))
+
+
+def landed_sketches(spark: SparkSession, path: str, min_support: int = 50, **options) -> DataFrame:
+    """Stored sketches of the JSON datasets landed below ``path``."""
+    rows = read_rows(spark, path)
+    cells = cells_of_rows(rows)
+    sketches = build_sketches(cells, min_support=min_support, **options)
+    return materialize(without_columns(sketches, boolean_columns(cells, rows)), "sketches")
+
+
+def join_graph(pairs: DataFrame, labels: DataFrame, n: int = 15) -> dict[str, DataFrame]:
+    """The reports on a set of joinable pairs."""
+    edges = dataset_edges(pairs)
+    named = label_table(labels)
+    return {
+        "edges": edges,
+        "hubs": top_hubs(dataset_nodes(edges), named, n),
+        "pairs": top_pairs(pairs, named, n),
+        "containment": equal_width_histogram(pairs, ["jc_left_in_right", "jc_right_in_left"], 30),
+    }
