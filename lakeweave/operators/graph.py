@@ -52,8 +52,9 @@ def dataset_pair_counts(pairs: DataFrame) -> DataFrame:
 def hub_degree(pairs: DataFrame) -> DataFrame:
     """Distinct partners of each dataset, counted over both directions."""
     left, right = F.col("left_dataset"), F.col("right_dataset")
-    directed = F.array(F.struct(left, right), F.struct(right, left)).cast(
-        "array<struct<dataset:string,partner:string>>"
+    directed = F.array(
+        F.struct(left.alias("dataset"), right.alias("partner")),
+        F.struct(right.alias("dataset"), left.alias("partner")),
     )
     return (
         pairs.select("left_dataset", "right_dataset")

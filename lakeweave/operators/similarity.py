@@ -189,18 +189,15 @@ def cosine_pairs(vectors: DataFrame, min_score: float = MIN_SCORE, block: int =
     right_end = F.when(F.col("resident"), F.col("mine")).otherwise(F.col("r_blocks") - 1)
     right = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), right_end.cast("int"))))
     keys = ["cell", "low", "high"]
+    # Fresh aliases keep the two sides apart, which come from the same table.
+    payload = [F.col(c).alias(c) for c in ("cell", "name", "embedding", "norm")]
     left = left.select(
-        "cell",
+        *payload,
         F.col("mine").alias("low"),
         F.col("other").alias("high"),
         (F.col("mine") == F.col("other")).alias("same"),
-        "name",
-        "embedding",
-        "norm",
-    )
-    right = right.select(
-        "cell", F.col("other").alias("low"), F.col("mine").alias("high"), "name", "embedding", "norm"
     )
+    right = right.select(*payload, F.col("other").alias("low"), F.col("mine").alias("high"))
     return (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))

@@ -207,7 +207,10 @@ def catalog_summary(records: DataFrame, now: float) -> DataFrame:
         .groupBy("domain", "statistic")
         .agg(F.min(F.col("key").cast("int")).alias("low"), F.max(F.col("key").cast("int")).alias("high"))
         .select(
-            "domain", "statistic", F.explode(F.sequence("low", "high")).cast("string").alias("key"), zero
+            "domain",
+            "statistic",
+            F.explode(F.sequence("low", "high").cast("array<string>")).alias("key"),
+            zero,
         )
     )
     return (

@@ -22,14 +22,19 @@ def kept_columns(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema.fields if isinstance(f.dataType, KEPT_TYPES)]
 
 
-def cells_of(df: DataFrame, dataset_id: str) -> DataFrame:
-    """One row per cell. A table is read once however many columns it has."""
+def cells_of(df: DataFrame, dataset_id: str, row_id: str | None = None) -> DataFrame:
+    """One row per cell. A table is read once however many columns it has.
+
+    ``row_id`` names a column that gives the row order; it is carried along as ``row_id``.
+    """
     texts = [scalar_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in kept_columns(df)]
     names = [f"`{f.name}`" for f in kept_columns(df)]
+    order = [] if row_id is None else [F.col(f"`{row_id}`").alias("row_id")]
+    carried = [] if row_id is None else ["row_id"]
     return (
-        df.select(*texts)
-        .unpivot([], names, "column_name", "value")
-        .select(F.lit(dataset_id).alias("dataset_id"), "column_name", "value")
+        df.select(*order, *texts)
+        .unpivot(carried, names, "column_name", "value")
+        .select(F.lit(dataset_id).alias("dataset_id"), *carried, "column_name", "value")
     )
 
 
