@@ -24,6 +24,7 @@ from lakeweave.functions.estimator import (
     passes,
 )
 from lakeweave.operators.sketch import NUM_HASHES
+from lakeweave.session import materialize
 
 PAIR_COLUMNS = [
     "left_dataset",
@@ -101,7 +102,7 @@ def _shared_tokens(classes: DataFrame, block: int) -> DataFrame:
 
 def _candidates(classes: DataFrame, num_hashes: int, js_t: float, jc_t: float, block: int) -> DataFrame:
     """Distinct class pairs ``(x, y)``, ``x < y``, holding every pair of classes that can pass."""
-    tokens = _shared_tokens(classes, block)
+    tokens = materialize(_shared_tokens(classes, block), "tokens")
     needed_at = F.array(
         *[
             F.lit(matches_needed_value(2.0 ** (gap + 1), num_hashes, js_t, jc_t))
@@ -158,7 +159,11 @@ def _class_pairs(classes: DataFrame, num_hashes: int, js_t: float, jc_t: float,
         _candidates(classes, num_hashes, js_t, jc_t, block)
         .join(as_side("x"), "x")
         .join(as_side("y"), "y")
-        .select(*sizes, match_count(F.col("x_signature"), F.col("y_signature")).alias("matches"))
+        # A generator, so that the count is made once and not copied into every use of it.
+        .select(
+            *sizes,
+            F.explode(F.array(match_count(F.col("x_signature"), F.col("y_signature")))).alias("matches"),
+        )
     )
     alike = (
         as_side("x")
@@ -260,13 +265,15 @@ def joinable_pairs(
 ) -> DataFrame:
     """Column pairs of different tables with ``js >= js_threshold`` or a containment ``>= jc_threshold``.
 
-    ``sketches`` is read several times, so pass a stored table, not a plan that hashes. Thresholds lie in
-    (0, 1]: at 0 every pair of columns would pass.
+    ``sketches`` is read twice, so pass a stored table, not a plan that hashes. Classes and their shared
+    tokens are stored on the way, since several joins need them. Thresholds lie in (0, 1]: at 0 every pair
+    of columns would pass.
     """
     for name, value in (("js_threshold", js_threshold), ("jc_threshold", jc_threshold)):
         if not 0 < value <= 1:
             raise ValueError(f"{name} must be above 0 and at most 1, not {value}")
     classes, members = signature_classes(sketches)
+    classes = materialize(classes, "classes")
     pairs = _class_pairs(classes, num_hashes, js_threshold, jc_threshold, block)
     return _expand(pairs, classes, members, block)
 

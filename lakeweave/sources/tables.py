@@ -17,6 +17,17 @@ def read_tables(spark: SparkSession, directory: str, names) -> dict[str, DataFra
     return {name: spark.read.parquet(f"{directory}/{name}.parquet") for name in names}
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a freshly read table over all cores if its files give fewer tasks than that.
+
+    Taking a table apart into cells is costly for its size; a small table in one file would be one long
+    task. Tables of more tasks than cores are left alone. Pass a plain file scan: finding out the number of
+    tasks would run any shuffle below.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def kept_columns(df: DataFrame) -> list[T.StructField]:
     """Text and number columns in table order; booleans, dates and nested values are left out."""
     return [f for f in df.schema.fields if isinstance(f.dataType, KEPT_TYPES)]
