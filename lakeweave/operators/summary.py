@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions import buckets as B
 from lakeweave.functions.times import months_since
+from lakeweave.session import materialize
 
 # Names of the statistics and how each is ordered in a report.
 FREQUENCIES = ("tag_counts", "categories", "formats", "column_types")
@@ -48,13 +49,22 @@ def most_common(counts: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def bucket_histogram(
-    df: DataFrame, value: Column, spec: B.Buckets, by: tuple[str, ...] = (), outside: bool = False
+    df: DataFrame,
+    value: Column,
+    spec: B.Buckets,
+    by: tuple[str, ...] = (),
+    outside: bool = False,
+    measured: bool = False,
 ) -> DataFrame:
     """``(*by, ordinal, bucket, count)`` with a row for every bucket, empty ones included.
 
-    ``outside`` adds a row with a null bucket for values in no bucket.
+    ``outside`` adds a row with a null bucket for values in no bucket. ``measured`` leaves out groups
+    without any value.
     """
-    labelled = df.select(*by, spec.label(value).alias("bucket"))
+    # The value gets a step of its own, so that a costly one is not made once per bucket.
+    labelled = df.select(*by, value.alias("value")).select(
+        *by, "value", spec.label(F.col("value")).alias("bucket")
+    )
     labels = list(spec.labels) + ([None] if outside else [])
     counts = [
         F.count_if(F.col("bucket").isNull() if label is None else F.col("bucket") == label).alias(
@@ -70,12 +80,10 @@ def bucket_histogram(
         )
         for i, label in enumerate(labels)
     ]
-    return (
-        labelled.groupBy(*by)
-        .agg(*counts)
-        .select(*by, F.explode(F.array(*rows)).alias("b"))
-        .select(*by, "b.*")
-    )
+    groups = labelled.groupBy(*by).agg(F.count("value").alias("values"), *counts)
+    if measured:
+        groups = groups.where(F.col("values") > 0)
+    return groups.select(*by, F.explode(F.array(*rows)).alias("b")).select(*by, "b.*")
 
 
 def attribute_count(columns: Column) -> Column:
@@ -121,13 +129,22 @@ def sparseness(columns: Column, row_count: Column) -> Column:
 
 
 def sparseness_histogram(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    measured = df.select(
-        *by, sparseness(F.col("columns"), F.col("row_count")).alias("sparseness")
-    ).where(F.col("sparseness").isNotNull())
-    return bucket_histogram(measured, F.col("sparseness"), B.SPARSENESS, by)
+    """Buckets of the sparseness of the datasets that have one."""
+    share = sparseness(F.col("columns"), F.col("row_count"))
+    return bucket_histogram(df, share, B.SPARSENESS, by, measured=True)
+
 
+def _measures(now: float) -> dict[str, Column]:
+    """What the bucket and age statistics of a record are taken from."""
+    return {
+        "_sparseness": sparseness(F.col("columns"), F.col("row_count")),
+        "_attributes": attribute_count(F.col("columns")),
+        "_published": months_since(F.col("publication_date"), now),
+        "_updated": months_since(F.col("updated_at"), now),
+    }
 
-def _entries(now: float) -> Column:
+
+def _entries() -> Column:
     """All (statistic, key) pairs one metadata record counts for."""
 
     def one(statistic: str, key: Column, keep: Column | None = None) -> Column:
@@ -145,19 +162,16 @@ def _entries(now: float) -> Column:
             present, lambda k: F.struct(F.lit(statistic).alias("statistic"), k.alias("key"))
         )
 
-    columns, rows = F.col("columns"), F.col("row_count")
-    sparse = sparseness(columns, rows)
-    published = months_since(F.col("publication_date"), now)
-    updated = months_since(F.col("updated_at"), now)
+    sparse, published, updated = (F.col(c) for c in ("_sparseness", "_published", "_updated"))
     return F.concat(
         many("tag_counts", F.col("tags")),
         one("categories", F.col("category")),
         one("formats", F.col("format")),
-        many("column_types", F.transform(columns, lambda c: c["type"])),
-        one("row_counts", B.ROWS.label(rows)),
+        many("column_types", F.transform("columns", lambda c: c["type"])),
+        one("row_counts", B.ROWS.label(F.col("row_count"))),
         one("view_counts", B.USES.label(F.col("view_count"))),
         one("download_counts", B.USES.label(F.col("download_count"))),
-        one("attribute_counts", B.ATTRIBUTES.label(attribute_count(columns))),
+        one("attribute_counts", B.ATTRIBUTES.label(F.col("_attributes"))),
         one("publication_age", published, published >= 0),
         one("last_update", updated, updated >= 0),
         # A measured value in no bucket keeps a null key: its domain still has the statistic.
@@ -169,12 +183,14 @@ def catalog_summary(records: DataFrame, now: float) -> DataFrame:
     """All statistics of all domains as ``(domain, statistic, key, count)``.
 
     The records are read once: each one is turned into the keys it counts for, and a single aggregate
-    counts them. Empty buckets and age gaps are then filled in on the aggregated rows.
+    counts them. The counts are stored, and empty buckets and age gaps are filled in from there.
     """
-    counts = (
-        records.select("domain", F.explode(_entries(now)).alias("e"))
+    counts = materialize(
+        records.withColumns(_measures(now))
+        .select("domain", F.explode_outer(_entries()).alias("e"))
         .groupBy("domain", "e.statistic", "e.key")
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.count(F.lit(1)).alias("count")),
+        "summary",
     )
     always = [(s, label) for s, spec in BUCKETED.items() if s != "sparseness_counts" for label in spec.labels]
     zero = F.lit(0).cast("bigint").alias("count")

@@ -20,6 +20,7 @@ from lakeweave.operators.summary import (
     rollup_domains,
     semantic_coverage,
 )
+from lakeweave.session import materialize
 from lakeweave.sources.lake import (
     cells_of_rows,
     check_metadata,
@@ -30,8 +31,11 @@ from lakeweave.sources.lake import (
 
 
 def profiled_records(bodies: DataFrame, rows: DataFrame) -> DataFrame:
-    """Crawl records of portal documents, with row counts and null profiles of the landed rows."""
-    records = crawl_records(portal_metadata(bodies))
+    """Crawl records of portal documents, with row counts and null profiles of the landed rows.
+
+    The parsed records are stored, because both the column list and the result are taken from them.
+    """
+    records = materialize(crawl_records(portal_metadata(bodies)), "records")
     profile = profile_cells(
         cells_of_rows(rows, nested=True), row_counts(rows), schema_of_records(records)
     )
