@@ -19,7 +19,7 @@ API_SAMPLES = 50
 MIN_SCORE = 0.90
 TOP = 50
 BLOCK = 1024
-MAX_PIVOTS = 64
+MAX_PIVOTS = 1024
 _SLACK = 1e-9
 # The arc cosine of numbers near 1 is good to about 1e-8.
 _ANGLE_SLACK = 1e-6
@@ -141,7 +141,8 @@ def cosine_pairs(vectors: DataFrame, min_score: float = MIN_SCORE, block: int =
     different cells only if one of them is at most ``2 t`` farther from the other's pivot than from its own,
     so it visits that cell; other cells are never compared. Residents and visitors of a cell are cut into
     blocks of bounded size, and one task compares two blocks with a matrix product, however many vectors
-    gather in one cell. Names must be unique.
+    gather in one cell. Names must be unique. ``vectors`` is read three times, so pass a stored table if it
+    is costly to make.
     """
     if not 0 < min_score <= 1:
         raise ValueError(f"min_score must be above 0 and at most 1, not {min_score}")
