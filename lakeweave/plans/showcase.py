@@ -20,7 +20,7 @@ from lakeweave.plans.joinability import lake_sketches
 from lakeweave.plans.similarity import alike_columns
 from lakeweave.session import scratch_path
 from lakeweave.sources import lake
-from lakeweave.sources.tables import cells_from_tables, cells_of, read_tables
+from lakeweave.sources.tables import cells_from_tables, cells_of, read_tables, spread_small
 from lakeweave.streaming import incremental
 
 TABLES = (
@@ -45,6 +45,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table that much is made of per row: spread over the cores if it lies in few files."""
+    return spread_small(table(spark, d, name))
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
     return cells_from_tables(read_tables(spark, d, TABLES))
 
@@ -277,8 +282,8 @@ def alike_by_embedding(spark, d):
 
 def catalog(spark, d) -> DataFrame:
     """One crawl record per order."""
-    orders, customer, nation = (table(spark, d, t) for t in ("orders", "customer", "nation"))
-    joined = orders.join(customer, F.expr("o_custkey = c_custkey")).join(
+    customer, nation = table(spark, d, "customer"), table(spark, d, "nation")
+    joined = spread(spark, d, "orders").join(customer, F.expr("o_custkey = c_custkey")).join(
         nation, F.expr("c_nationkey = n_nationkey")
     )
     based = joined.selectExpr(
@@ -439,7 +444,7 @@ def summary_lookup(spark, d):
 
 def portal(spark, d) -> DataFrame:
     """One portal document per order."""
-    return table(spark, d, "orders").selectExpr(
+    return spread(spark, d, "orders").selectExpr(
         "'o' || o_orderkey AS dataset_id",
         "'Order ' || o_orderkey AS name",
         "nullif(substr(o_orderpriority, 3), 'NOT SPECIFIED') AS category",
@@ -735,7 +740,7 @@ def safe_names(spark, d):
 
 def payloads(spark, d) -> DataFrame:
     """One landed payload per event; its body depends on type and size of the event."""
-    return table(spark, d, "events").selectExpr(
+    return spread(spark, d, "events").selectExpr(
         "'e' || event_id AS dataset_id",
         "CASE WHEN value > 200 THEN 500 ELSE 200 END AS status",
         """CASE event_type
@@ -775,7 +780,7 @@ def landed_row_counts(spark, d):
 
 def portal_documents(spark, d) -> DataFrame:
     """One portal document per event, as JSON text."""
-    return table(spark, d, "events").selectExpr(
+    return spread(spark, d, "events").selectExpr(
         "event_type AS domain",
         "'e' || event_id AS dataset_id",
         """'{"category": "' || event_type || '", "viewType": "' || CASE WHEN event_id % 4 = 3 THEN 'map' ELSE 'tabular' END
