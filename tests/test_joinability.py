@@ -3,7 +3,13 @@ import random
 import pytest
 
 import plain
-from lakeweave.operators.joinability import PAIR_COLUMNS, joinable_pairs, rank_pairs
+from lakeweave.operators.joinability import (
+    PAIR_COLUMNS,
+    _candidates,
+    joinable_pairs,
+    rank_pairs,
+    signature_classes,
+)
 from lakeweave.operators.sketch import build_sketches
 from lakeweave.session import materialize
 
@@ -112,3 +118,32 @@ def test_ranking(spark):
         ("x", "b"),
     ]
     assert rank_pairs(frame, 1).count() == 1
+
+
+def test_hot_tokens_make_few_candidates(spark):
+    """Columns of one size that all share a fifth of their tokens cannot pass and are not even candidates."""
+    draw = random.Random(9)
+    rows = []
+    for i in range(400):
+        signature = [0 if draw.random() < 0.15 else draw.getrandbits(60) for _ in range(128)]
+        rows.append((f"d{i}", "c", signature, 740 + i % 60))
+    classes, _ = signature_classes(spark.createDataFrame(rows, SCHEMA))
+    classes = materialize(classes, "test")
+    assert _candidates(classes, 128, 0.3, 0.5, 64).count() < 40
+    # With low thresholds nearly all of the 79,800 pairs have to be looked at.
+    assert _candidates(classes, 128, 0.01, 0.01, 64).count() > 70_000
+
+
+@pytest.mark.parametrize("family", ["sha1", "xxhash64"])
+def test_columns_of_both_hash_families(spark, family):
+    draw = random.Random(4)
+    cells = [
+        (f"t{i % 4}", f"c{i}", str(draw.randrange(50 * (1 + i % 6)))) for i in range(12) for _ in range(400)
+    ]
+    frame = spark.createDataFrame(cells, "dataset_id string, column_name string, value string")
+    built = build_sketches(frame, family=family, cardinality="exact")
+    rows = built.collect()
+    sketches = {(r.dataset_id, r.column_name): (r.signature, r.cardinality) for r in rows}
+    wanted = plain.joinable(sketches)
+    assert wanted
+    agree(run(spark, sketches), wanted)

@@ -49,3 +49,27 @@ def test_domains_once_over_runs(spark):
         inc.update_domains(stream(spark, f"{base}/in", "domain string"), f"{base}/store", f"{base}/progress")
     found = [r.domain for r in spark.read.parquet(f"{base}/store").collect()]
     assert sorted(found) == ["a", "b", "c"]
+
+
+def test_streamed_embeddings_equal_a_batch(spark):
+    from lakeweave.operators.similarity import embed_columns
+    from lakeweave.plans import showcase
+
+    folder = "/root/testdata/sf0.001"
+    texts = showcase.table(spark, folder, "documents").selectExpr(
+        "'d' || doc_id AS dataset_id", "'text' AS column_name", "text"
+    )
+    streamed = showcase.QUERIES["streamed_embeddings"](spark, folder)
+    assert sorted(streamed.collect()) == sorted(embed_columns(texts).collect())
+
+
+def test_alike_columns_equal_brute_force(spark):
+    from lakeweave.operators import similarity as sim
+    from lakeweave.plans import showcase
+    from test_similarity import brute
+
+    folder = "/root/testdata/sf0.001"
+    rows = sim.named_vectors(showcase.QUERIES["column_embedding"](spark, folder)).collect()
+    wanted = brute({r["name"]: r.embedding for r in rows}, 0.5)
+    found = showcase.QUERIES["alike_by_embedding"](spark, folder).collect()
+    assert {(r.col1, r.col2) for r in found} == set(wanted) and len(wanted) <= sim.TOP
