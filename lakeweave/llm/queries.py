@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakeweave.llm import dac, packing
+from lakeweave.llm import attribution, chat, dac, decontaminate, language, packing, sharding, suffix_array
+from lakeweave.llm.queries_sql import OP3_SQL, OP10_SQL
 from lakeweave.session import scratch_path
 
 
@@ -12,12 +14,38 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    """What is left of each document without the strings of 200 bytes that occur more than once."""
+    found = suffix_array.repeats(_table(spark, directory, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op3_benchmark_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    """Words of each document that stand in a 10-word window of a benchmark item."""
+    found = decontaminate.find_contamination(_table(spark, directory, "documents"), _table(spark, directory, "benchmark"), window=10)
+    return decontaminate.digest(found)
+
+
 def op4_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids."""
     packed = packing.pack_documents(_table(spark, directory, "documents"), capacity=2048, end_id=0)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_language_id(spark: SparkSession, directory: str) -> DataFrame:
+    """The language of each document by a network trained on the rows that are not held out."""
+    found = language.identify_languages(_table(spark, directory, "documents"))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op7_kd_sharding(spark: SparkSession, directory: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes, copies together."""
+    axes = {"id": F.col("doc_id"), "size": F.octet_length("text"), "source": F.crc32(F.encode(F.coalesce("source", F.lit("")), "UTF-8"))}
+    placed = sharding.kd_shards(_table(spark, directory, "documents"), 16, axes)
+    nothing = F.lit(None).cast("int")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", nothing.alias("grown_shard"))
+
+
 def op8_token_codes(spark: SparkSession, directory: str) -> DataFrame:
     """All documents written as directly addressable codes and read back."""
     target = scratch_path(spark, "codes")
@@ -25,9 +53,32 @@ def op8_token_codes(spark: SparkSession, directory: str) -> DataFrame:
     return dac.stored_documents(dac.read_codes(spark, target))
 
 
+def op9_section_tokens(spark: SparkSession, directory: str) -> DataFrame:
+    """Tokens of each line of each document; a token on a border belongs to the line of its first character."""
+    found = attribution.section_tokens(_table(spark, directory, "documents"), rule="first")
+    return found.select("doc_id", "section", "start", "end", "n_tokens", "n_crossing")
+
+
+def op10_chat_formatting(spark: SparkSession, directory: str) -> DataFrame:
+    """All conversations, and one made of control strings, folded from events, rendered and read back."""
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = _table(spark, directory, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    rendered = chat.render(chat.fold_events(chat.events_of_turns(turns)))
+    return chat.digests(chat.read_back(rendered))
+
+
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_language_id": op5_language_id,
+    "op7_kd_sharding": op7_kd_sharding,
     "op8_token_codes": op8_token_codes,
+    "op9_section_tokens": op9_section_tokens,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_benchmark_decontamination": OP3_SQL,
+    "op10_chat_formatting": OP10_SQL,
+}
