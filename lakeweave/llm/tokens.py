@@ -1,9 +1,9 @@
-"""Token ids of whole texts with the public tokenizer files; each distinct word is encoded once per batch.
+"""Token ids of whole texts with the public tokenizer files; each distinct word is encoded once per worker.
 
-Both vocabularies cut a text at a space between two visible characters before they merge anything, so the ids of a text
-are the ids of its space-separated words, one after another. A word that occurs again takes its ids from a dictionary.
-Texts with other uses of the space (two in a row, at an end, beside a line break) are encoded whole where the
-vocabulary keeps spaces.
+Both vocabularies cut a text at a space between two visible characters before they merge anything, so the ids of a text are
+the ids of its space-separated words, one after another. They also cut between letters and the punctuation behind them and
+around a single line break, so a word is put together from parts. A part or word that occurs again comes from a dictionary. Texts with
+other uses of the space (two in a row, at an end, beside a line break) are encoded whole where the vocabulary keeps spaces.
 """
 
 from __future__ import annotations
@@ -14,8 +14,13 @@ from itertools import chain
 
 import numpy as np
 
-#: Words that a worker remembers; the dictionary starts anew beyond that.
-REMEMBERED = 400_000
+#: Words, and parts of words, that a worker remembers; a dictionary starts anew beyond that.
+REMEMBERED = 800_000
+#: Both files have this special token. New parts are encoded so many in one string, with the token between them.
+SEPARATOR = "<|endoftext|>"
+LOT = 24
+#: Punctuation that is cut off the end of a word of letters.
+PUNCTUATION = "!\"#$%&()*+,-./:;=?@'"
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,7 +31,10 @@ def tokenizer_path(name: str) -> str:
 
 
 class WordEncoder:
-    """Encodes lists of texts to arrays of ids. ``keeps_space`` tells whether a word carries the space before it."""
+    """Encodes lists of texts to arrays of ids. ``keeps_space`` tells whether a word carries the space before it.
+
+    A dictionary holds the ids of a word as 32-bit numbers. With ``offsets`` it holds first and end character of each token after its id.
+    """
 
     def __init__(self, path: str, keeps_space: bool, offsets: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,23 +43,92 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_space = keeps_space
         self.offsets = offsets
-        self.first: dict = {}
+        self.separator = self.tokenizer.token_to_id(SEPARATOR)
+        self.parts: dict[str, bytes] = {}
+        self.first: dict[str, bytes | None] = {}
         self.later = {} if keeps_space else self.first
 
-    def _whole(self, texts: list[str]):
+    def _rows(self, encoding) -> np.ndarray:
+        ids = np.array(encoding.ids, dtype=np.uint32)
+        if not self.offsets:
+            return ids
+        return np.column_stack([ids, np.array(encoding.offsets, dtype=np.uint32).reshape(-1, 2)])
+
+    def _whole(self, text: str) -> bytes:
+        return self._rows(self.tokenizer.encode(text, add_special_tokens=False)).tobytes()
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Entries of parts without a special token in them, at the cost of one call."""
+        lots = [parts[k : k + LOT] for k in range(0, len(parts), LOT)]
+        encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
+        out: list[bytes] = []
+        for lot, found in zip(lots, encode([SEPARATOR.join(lot) for lot in lots], add_special_tokens=False), strict=True):
+            rows = self._rows(found)
+            cuts = np.flatnonzero((rows if rows.ndim == 1 else rows[:, 0]) == self.separator)
+            if self.offsets:
+                sizes = np.array([len(p) + len(SEPARATOR) for p in lot[:-1]], dtype=np.int64)
+                base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32)
+                rows[:, 1:] -= np.repeat(base, np.diff(np.concatenate([[0], cuts + 1, [len(rows)]])))[:, None]
+            data, width = rows.tobytes(), 4 if rows.ndim == 1 else 12
+            ends = (cuts * width).tolist()
+            starts = [0, *(e + width for e in ends)]
+            out.extend(data[a:b] for a, b in zip(starts, [*ends, len(data)], strict=True))
+        return out
+
+    def _entry(self, part: str) -> bytes:
+        """The entry of a part that comes up rarely."""
+        if part not in self.parts:
+            if len(self.parts) > REMEMBERED // 8:
+                self.parts.clear()
+            self.parts[part] = self._whole(part)
+        return self.parts[part]
+
+    def _put_together(self, word: str, prefix: str) -> bytes:
+        """The entry of a word that is more than letters: line by line if it has line breaks between visible characters."""
+        lines = word.split("\n")
+        if len(lines) == 1 or any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+            return self._entry(prefix + word)
+        pieces = []
+        for k, line in enumerate(lines):
+            stem = line.rstrip(PUNCTUATION)
+            before = "" if k else prefix
+            pieces += ["\n"] * (k > 0)
+            pieces += [before + stem, line[len(stem) :]] if len(stem) < len(line) and stem.isalpha() else [before + line]
         if self.offsets:
-            return [(tuple(e.ids), tuple(e.offsets)) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return self._moved(pieces)
+        return b"".join(map(self._entry, pieces))
 
     def _learn(self, words: set[str], known: dict, prefix: str) -> None:
-        fresh = [w for w in words if w not in known]
-        good = fresh if not self.keeps_space else [w for w in fresh if w and not w[0].isspace() and not w[-1].isspace()]
-        known.update(zip(good, self._whole([prefix + w for w in good]), strict=True))
-        if len(good) < len(fresh):
-            known.update((w, None) for w in set(fresh).difference(good))
+        fresh = words.difference(known)
+        letters, ended, other = [], [], []
+        for w in fresh:
+            stem = w.rstrip(PUNCTUATION)
+            if not stem.isalpha():
+                other.append(w)
+            elif len(stem) == len(w):
+                letters.append(w)
+            else:
+                ended.append((w, stem))
+        letters += {stem for _, stem in ended}.difference(known, letters)
+        known.update(zip(letters, self._encode_parts([prefix + w for w in letters]), strict=True))
+        for word, stem in ended:
+            known[word] = self._moved([prefix + stem, word[len(stem) :]], known[stem]) if self.offsets else known[stem] + self._entry(word[len(stem) :])
+        for word in other:
+            loose = self.keeps_space and (not word or word[0].isspace() or word[-1].isspace())
+            known[word] = None if loose else self._put_together(word, prefix)
+
+    def _moved(self, pieces: list[str], first: bytes | None = None) -> bytes:
+        """Entries of parts in a row with the offsets moved to where they stand."""
+        out, at = [], 0
+        for k, p in enumerate(pieces):
+            rows = np.frombuffer(self._entry(p) if k or first is None else first, np.uint32).reshape(-1, 3).copy()
+            rows[:, 1:] += np.uint32(at)
+            out.append(rows.tobytes())
+            at += len(p)
+        return b"".join(out)
 
     def _split(self, texts: list[str]) -> list[list[str]]:
-        if len(self.first) + len(self.later) > REMEMBERED:
+        if max(len(self.first), len(self.later)) > REMEMBERED:
             self.first.clear()
             self.later.clear()
         parts = [text.split(" ") for text in texts]
@@ -62,36 +139,35 @@ class WordEncoder:
             self._learn(set(chain.from_iterable(parts)), self.first, "")
         return parts
 
-    def _pieces(self, words: list[str]):
-        return chain((self.first[words[0]],), map(self.later.__getitem__, words[1:]))
+    def _pieces(self, words: list[str]) -> list[bytes | None]:
+        return [self.first[words[0]], *map(self.later.__getitem__, words[1:])]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as ``encode(text, add_special_tokens=False)`` gives them."""
         out = []
         for text, words in zip(texts, self._split(texts), strict=True):
             try:
-                out.append(np.fromiter(chain.from_iterable(self._pieces(words)), dtype=np.uint32))
+                data = b"".join(self._pieces(words))
             except TypeError:  # a space that does not stand between two words
-                out.append(np.array(self._whole([text])[0], dtype=np.uint32))
+                data = self._whole(text)
+            out.append(np.frombuffer(data, dtype=np.uint32))
         return out
 
     def spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Ids, and first and end character of each token in the text."""
         out = []
         for text, words in zip(texts, self._split(texts), strict=True):
-            pieces = list(self._pieces(words))
-            if any(p is None for p in pieces):
-                pieces, base = self._whole([text]), np.zeros(1, dtype=np.int64)
-            else:
-                base = np.zeros(len(words), dtype=np.int64)
-                np.cumsum([len(w) + 1 for w in words[:-1]], out=base[1:])
+            pieces = self._pieces(words)
+            try:
+                rows = np.frombuffer(b"".join(pieces), dtype=np.uint32).reshape(-1, 3).astype(np.int64)
+                sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+                base = np.cumsum(sizes + 1) - sizes - 1
                 if self.keeps_space:
                     base[1:] -= 1
-            counts = [len(p[0]) for p in pieces]
-            shift = np.repeat(base, counts)
-            pairs = np.fromiter(chain.from_iterable(chain.from_iterable(p[1] for p in pieces)), dtype=np.int64).reshape(-1, 2)
-            ids = np.fromiter(chain.from_iterable(p[0] for p in pieces), dtype=np.uint32)
-            out.append((ids, pairs[:, 0] + shift, pairs[:, 1] + shift))
+                shift = np.repeat(base, np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 12)
+            except TypeError:
+                rows, shift = np.frombuffer(self._whole(text), dtype=np.uint32).reshape(-1, 3).astype(np.int64), 0
+            out.append((rows[:, 0].astype(np.uint32), rows[:, 1] + shift, rows[:, 2] + shift))
         return out
 
 
