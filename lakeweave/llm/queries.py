@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import attribution, chat, dac, decontaminate, language, packing, sharding, suffix_array
+from lakeweave.llm import attribution, chat, dac, decontaminate, jaccard_join, language, packing, sharding, suffix_array
 from lakeweave.llm.queries_sql import OP3_SQL, OP10_SQL
 from lakeweave.session import scratch_path
 
@@ -20,6 +20,12 @@ def op1_suffix_array_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of at least 0.85."""
+    found = jaccard_join.jaccard_components(_table(spark, directory, "documents"), width=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     """Words of each document that stand in a 10-word window of a benchmark item."""
     found = decontaminate.find_contamination(_table(spark, directory, "documents"), _table(spark, directory, "benchmark"), window=10)
@@ -69,6 +75,7 @@ def op10_chat_formatting(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_language_id": op5_language_id,

@@ -23,7 +23,7 @@ MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 @dataclass
 class Joined:
-    """Texts in a row, each ended by a zero byte. ``start`` has each text's place; ``low`` is lower-cased (A-Z)."""
+    """Texts in a row, each ended by a byte that belongs to no word. ``start`` has each text's place; ``low`` is lower-cased (A-Z)."""
 
     raw: np.ndarray
     low: np.ndarray
@@ -31,16 +31,16 @@ class Joined:
     size: np.ndarray
 
 
-def joined(texts: list[str]) -> Joined:
+def joined(texts: list[str], closing: bytes = b"\0") -> Joined:
     parts = [t.encode("utf-8", "surrogatepass") for t in texts]
     size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    raw = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8)
+    raw = np.frombuffer(closing.join(parts) + closing, dtype=np.uint8)
     start = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64) if len(parts) else np.zeros(0, np.int64)
     return Joined(raw, LOWER[raw], start, size)
 
 
 def find_words(data: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First byte and end of each run of bytes of a class. The closing zero byte of a text must not belong to it."""
+    """First byte and end of each run of bytes of a class. The byte that closes a text must not belong to it."""
     inside = kind[data].view(np.int8)
     edge = np.diff(inside, prepend=np.int8(0), append=np.int8(0))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
