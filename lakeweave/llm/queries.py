@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import attribution, chat, dac, decontaminate, jaccard_join, language, packing, sharding, suffix_array
+from lakeweave.llm import attribution, chat, dac, decontaminate, jaccard_join, language, neighbours, packing, sharding, suffix_array
 from lakeweave.llm.queries_sql import OP3_SQL, OP10_SQL
 from lakeweave.session import scratch_path
 
@@ -44,6 +44,11 @@ def op5_language_id(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_nearest_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    """The ten nearest other vectors of every vector whose id is divisible by 100."""
+    return neighbours.neighbours(_table(spark, directory, "embeddings"), every=100, k=10)
+
+
 def op7_kd_sharding(spark: SparkSession, directory: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes, copies together."""
     axes = {"id": F.col("doc_id"), "size": F.octet_length("text"), "source": F.crc32(F.encode(F.coalesce("source", F.lit("")), "UTF-8"))}
@@ -79,6 +84,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_language_id": op5_language_id,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_kd_sharding": op7_kd_sharding,
     "op8_token_codes": op8_token_codes,
     "op9_section_tokens": op9_section_tokens,
