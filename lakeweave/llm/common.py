@@ -18,8 +18,8 @@ def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds ``row_key``, unique for each row, so that null and repeated ids stay apart.
 
-    The keys follow the place of a row in its input split. They are the same each time the input is read if the
-    input is a set of files, as a table or a written step is.
+    The keys follow the place of a row in its input split, so the input has to be a set of files: a table, or a step that was written
+    (``materialize``). Anything that shuffles would number its rows anew each time it is read.
     """
     return docs.withColumn("row_key", F.monotonically_increasing_id())
 
