@@ -163,9 +163,10 @@ def series_peak(series: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def extremes(
     df: DataFrame, key: str, by_population: int = 3, by_count: int = 2
 ) -> DataFrame:
-    """Rows with the smallest and largest population and count, each row once."""
+    """Rows with the smallest and largest population and count, each row once. The input is made once and stored."""
+    stored = materialize(df, "extremes")
     parts = [
-        df.orderBy(order, key).limit(n)
+        stored.orderBy(order, key).limit(n)
         for column, n in (("population", by_population), ("count", by_count))
         for order in (F.asc(column), F.desc(column))
     ]
@@ -247,13 +248,13 @@ def sample_columns(
     columns: DataFrame, seed: int, max_datasets: int | None = 3, max_columns: int | None = 5
 ) -> DataFrame:
     """A repeatable sample of ``(dataset_id, column_name)``: some datasets, some columns of each."""
-    order = F.xxhash64(F.lit(seed), "dataset_id", "column_name")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), "dataset_id", F.lit("."), "column_name"))
     sampled = columns.select("dataset_id", "column_name").distinct()
     if max_datasets is not None:
         chosen = (
             sampled.select("dataset_id")
             .distinct()
-            .orderBy(F.xxhash64(F.lit(seed), "dataset_id"), "dataset_id")
+            .orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "dataset_id")), "dataset_id")
             .limit(max_datasets)
         )
         sampled = sampled.join(chosen, "dataset_id", "left_semi")

@@ -6,7 +6,7 @@ in one task. Empty buckets are made from the aggregated counts, not by joining d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave.functions import buckets as B
@@ -281,16 +281,16 @@ def headline_counts(records: DataFrame, top: int = 10) -> DataFrame:
 
     Missing values count as a key of their own.
     """
-    parts = []
-    for name in HEADLINES + ("row_count_bucket", "created_year"):
-        counts = frequency(records, F.col(name).cast("string"), nulls=True)
-        if name in HEADLINES:
-            counts = most_common(counts, top)
-        parts.append(counts.select(F.lit(name).alias("headline"), "key", "count"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    names = HEADLINES + ("row_count_bucket", "created_year")
+    keys = [F.struct(F.lit(n).alias("headline"), F.col(n).cast("string").alias("key")) for n in names]
+    counts = (
+        records.select(F.explode(F.array(*keys)).alias("k"))
+        .groupBy("k.headline", "k.key")
+        .agg(F.count(F.lit(1)).alias("count"))
+    )
+    order = Window.partitionBy("headline").orderBy(F.desc("count"), F.asc_nulls_last("key"))
+    ranked = counts.withColumn("rank", F.row_number().over(order))
+    return ranked.where(~F.col("headline").isin(*HEADLINES) | (F.col("rank") <= top)).drop("rank")
 
 
 def recency_histogram(records: DataFrame) -> DataFrame:
@@ -334,19 +334,26 @@ def download_summary(attempts: DataFrame) -> DataFrame:
     )
 
 
-def summary_status(domains: DataFrame, files: DataFrame) -> DataFrame:
-    """Status per domain of a summary run: nothing to read, nothing valid among the files, or done.
+def summary_status(domains: DataFrame, files: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Status per domain of a summary run: failed with an error, nothing to read, or done.
 
-    ``files(domain, valid)`` has a row per metadata file.
+    ``files(domain, valid)`` has a row per metadata file, ``errors(domain, error)`` a row per error; of several errors of a domain the first in
+    text order is told.
     """
     found = files.groupBy("domain").agg(
         F.count(F.lit(1)).alias("files_processed"), F.count_if("valid").alias("valid_files")
     )
-    none = F.col("files_processed").isNull()
-    return domains.join(found, "domain", "left").select(
+    joined = domains.join(found, "domain", "left")
+    if errors is None:
+        joined = joined.withColumn("error", F.lit(None).cast("string"))
+    else:
+        told = errors.where(F.col("error").isNotNull()).groupBy("domain").agg(F.min("error").alias("error"))
+        joined = joined.join(told, "domain", "left")
+    none, failed = F.col("files_processed").isNull(), F.col("error").isNotNull()
+    return joined.select(
         "domain",
-        F.when(none, "skipped").otherwise("success").alias("status"),
-        F.when(none, "no_metadata").alias("reason"),
+        F.when(failed, "failed").when(none, "skipped").otherwise("success").alias("status"),
+        F.when(failed, F.col("error")).when(none, "no_metadata").alias("reason"),
         "files_processed",
         F.coalesce("valid_files", F.lit(0)).alias("valid_files"),
     )

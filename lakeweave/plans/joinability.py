@@ -16,13 +16,13 @@ from lakeweave.operators.sketch import build_sketches
 from lakeweave.operators.stats import equal_width_histogram
 from lakeweave.session import materialize
 from lakeweave.sources.lake import boolean_columns, cells_of_rows, read_rows, without_columns
-from lakeweave.sources.tables import cells_from_tables, read_tables, spread_small
+from lakeweave.sources.tables import cells_from_tables, read_tables
 
 
 def lake_sketches(spark: SparkSession, directory: str, names, **options) -> DataFrame:
     """Stored sketches of all columns of the named tables."""
     tables = read_tables(spark, directory, names)
-    cells = cells_from_tables({name: spread_small(df) for name, df in tables.items()})
+    cells = cells_from_tables(tables)
     return materialize(build_sketches(cells, **options), "sketches")
 
 

@@ -20,7 +20,7 @@ from lakeweave.plans.joinability import lake_sketches
 from lakeweave.plans.similarity import alike_columns
 from lakeweave.session import scratch_path
 from lakeweave.sources import lake
-from lakeweave.sources.tables import cells_from_tables, cells_of, read_tables, spread_small
+from lakeweave.sources.tables import cells_from_tables, cells_of, first_cells, read_tables
 from lakeweave.streaming import incremental
 
 TABLES = (
@@ -45,11 +45,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def spread(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table that much is made of per row: spread over the cores if it lies in few files."""
-    return spread_small(table(spark, d, name))
-
-
 def cells(spark: SparkSession, d: str) -> DataFrame:
     return cells_from_tables(read_tables(spark, d, TABLES))
 
@@ -236,18 +231,28 @@ def endpoint_frequency(spark, d):
     return graph.top(graph.endpoint_frequency(matches(spark, d)), "count", 10, "dataset")
 
 
+# Columns that put the rows of each table in order; the other columns settle ties.
 ROW_ORDER = {
-    "part": "p_partkey",
-    "customer": "c_custkey",
-    "orders": "o_orderkey",
-    "events": "event_id",
-    "documents": "doc_id",
-    "pages": "page_id",
+    "region": ["r_regionkey"],
+    "nation": ["n_nationkey"],
+    "customer": ["c_custkey"],
+    "supplier": ["s_suppkey"],
+    "part": ["p_partkey"],
+    "orders": ["o_orderkey"],
+    "lineitem": ["l_orderkey", "l_linenumber"],
+    "events": ["event_id"],
+    "documents": ["doc_id"],
+    "embeddings": ["vec_id"],
+    "pages": ["page_id"],
+    "benchmark": ["item_id"],
+    "labels": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
 }
 
 
-def ordered_cells(spark, d) -> DataFrame:
-    parts = [cells_of(table(spark, d, name), name, key) for name, key in ROW_ORDER.items()]
+def ordered_cells(spark, d, n: int) -> DataFrame:
+    """Cells of the first ``n`` rows of every table."""
+    parts = [first_cells(table(spark, d, name), name, order, n) for name, order in ROW_ORDER.items()]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -256,25 +261,25 @@ def ordered_cells(spark, d) -> DataFrame:
 
 @query
 def column_samples(spark, d):
-    samples = similarity.first_values(ordered_cells(spark, d), 25)
+    samples = similarity.first_values(ordered_cells(spark, d, 25), 25)
     return samples.select(*sketch.COLUMN_KEY, F.array_join("samples", "|").alias("samples"))
 
 
 @query
 def column_text(spark, d):
-    return similarity.column_texts(similarity.first_values(ordered_cells(spark, d), 50))
+    return similarity.column_texts(similarity.first_values(ordered_cells(spark, d, 50), 50))
 
 
 @query
 def column_embedding(spark, d):
     return similarity.embed_columns(
-        similarity.column_texts(similarity.first_values(ordered_cells(spark, d), 50))
+        similarity.column_texts(similarity.first_values(ordered_cells(spark, d, 50), 50))
     )
 
 
 @query
 def alike_by_embedding(spark, d):
-    return alike_columns(ordered_cells(spark, d), 50, 0.5).withColumn("score", F.round("score", 9))
+    return alike_columns(ordered_cells(spark, d, 50), 50, 0.5).withColumn("score", F.round("score", 9))
 
 
 # --- catalog ------------------------------------------------------------------------------------------
@@ -283,7 +288,7 @@ def alike_by_embedding(spark, d):
 def catalog(spark, d) -> DataFrame:
     """One crawl record per order."""
     customer, nation = table(spark, d, "customer"), table(spark, d, "nation")
-    joined = spread(spark, d, "orders").join(customer, F.expr("o_custkey = c_custkey")).join(
+    joined = table(spark, d, "orders").join(customer, F.expr("o_custkey = c_custkey")).join(
         nation, F.expr("c_nationkey = n_nationkey")
     )
     based = joined.selectExpr(
@@ -444,7 +449,7 @@ def summary_lookup(spark, d):
 
 def portal(spark, d) -> DataFrame:
     """One portal document per order."""
-    return spread(spark, d, "orders").selectExpr(
+    return table(spark, d, "orders").selectExpr(
         "'o' || o_orderkey AS dataset_id",
         "'Order ' || o_orderkey AS name",
         "nullif(substr(o_orderpriority, 3), 'NOT SPECIFIED') AS category",
@@ -653,10 +658,7 @@ def top_categories(spark, d):
 
 @query
 def city_report(spark, d):
-    # Only domains with an even customer count of orders in some category have categories here.
-    categories = summary.frequency(
-        catalog(spark, d).where("download_count > 12000"), F.col("category"), BY_DOMAIN
-    )
+    categories = summary.frequency(catalog(spark, d), F.col("category"), BY_DOMAIN)
     report = stats.city_report(
         count_run(spark, d).select("domain", "count"), population(spark, d), categories
     )
@@ -740,7 +742,7 @@ def safe_names(spark, d):
 
 def payloads(spark, d) -> DataFrame:
     """One landed payload per event; its body depends on type and size of the event."""
-    return spread(spark, d, "events").selectExpr(
+    return table(spark, d, "events").selectExpr(
         "'e' || event_id AS dataset_id",
         "CASE WHEN value > 200 THEN 500 ELSE 200 END AS status",
         """CASE event_type
@@ -780,7 +782,7 @@ def landed_row_counts(spark, d):
 
 def portal_documents(spark, d) -> DataFrame:
     """One portal document per event, as JSON text."""
-    return spread(spark, d, "events").selectExpr(
+    return table(spark, d, "events").selectExpr(
         "event_type AS domain",
         "'e' || event_id AS dataset_id",
         """'{"category": "' || event_type || '", "viewType": "' || CASE WHEN event_id % 4 = 3 THEN 'map' ELSE 'tabular' END
@@ -849,7 +851,10 @@ def summary_status(spark, d):
     )
     domains = table(spark, d, "events").select(F.col("event_type").alias("domain")).distinct()
     roles = table(spark, d, "conversations").select(F.col("role").alias("domain")).distinct()
-    return summary.summary_status(domains.unionByName(roles), files)
+    errors = table(spark, d, "conversations").where("role = 'system'").select(
+        F.col("role").alias("domain"), F.concat(F.lit("refused turn "), "turn").alias("error")
+    )
+    return summary.summary_status(domains.unionByName(roles), files, errors)
 
 
 # --- incremental runs ---------------------------------------------------------------------------------
@@ -870,7 +875,7 @@ def streamed_domains(spark, d):
 @query
 def streamed_sketches(spark, d):
     store = scratch_path(spark, "registers")
-    for name in ("customer", "orders"):
+    for name in TABLES:
         stream = cells_of(_stream(spark, d, name), name)
         incremental.update_registers(stream, f"{store}/{name}", scratch_path(spark, "progress"))
     banks = spark.read.option("recursiveFileLookup", True).parquet(store)

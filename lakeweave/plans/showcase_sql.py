@@ -78,7 +78,7 @@ WHERE {keep}"""
 
 
 SQL["column_sketches"] = _sketches_sql("support >= 50")
-SQL["streamed_sketches"] = _sketches_sql("dataset_id IN ('customer', 'orders')")
+SQL["streamed_sketches"] = _sketches_sql("true")
 SQL["exact_cardinality"] = f"""WITH {values_cte()}
 SELECT dataset_id, column_name, count(*) AS cardinality FROM vals WHERE v <> '' GROUP BY ALL"""
 
@@ -198,15 +198,25 @@ def _ordered_cells() -> str:
     from lakeweave.plans.sql_cells import TEST_TABLES, _text_of
 
     keys = {
-        "part": "p_partkey",
+        "region": "r_regionkey",
+        "nation": "n_nationkey",
         "customer": "c_custkey",
+        "supplier": "s_suppkey",
+        "part": "p_partkey",
         "orders": "o_orderkey",
+        "lineitem": "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, "
+        "l_returnflag, l_linestatus",
         "events": "event_id",
         "documents": "doc_id",
+        "embeddings": "vec_id",
         "pages": "page_id",
+        "benchmark": "item_id",
+        "labels": "doc_id",
+        "conversations": "conv_id, turn",
     }
     return " UNION ALL ".join(
-        f"SELECT '{t}' AS dataset_id, '{c}' AS column_name, {key} AS row_id, {_text_of(c, k)} AS value FROM {t}"
+        f"SELECT '{t}' AS dataset_id, '{c}' AS column_name, row_number() OVER (ORDER BY {key}) AS row_id, "
+        f"{_text_of(c, k)} AS value FROM {t}"
         for t, key in keys.items()
         for c, k in (entry.split(":") for entry in TEST_TABLES[t].split())
     )
@@ -525,7 +535,7 @@ _CATEGORY_RANKS = """ranked AS (
 tops AS (
   SELECT domain, string_agg(category, ',' ORDER BY rn) AS top_keys FROM ranked WHERE rn <= 3 GROUP BY domain)"""
 SQL["top_categories"] = f"WITH {CATALOG}, {_CATEGORY_RANKS.format('')} SELECT * FROM tops"
-SQL["city_report"] = f"""WITH {CATALOG}, {_RUNS}, {_CATEGORY_RANKS.format('AND download_count > 12000')}
+SQL["city_report"] = f"""WITH {CATALOG}, {_RUNS}, {_CATEGORY_RANKS.format('')}
 SELECT row_number() OVER (ORDER BY count, domain) AS serial, domain, city, count, top_keys AS top_categories
 FROM known LEFT JOIN tops USING (domain)"""
 SQL["tag_weights"] = f"""WITH {CATALOG},
@@ -537,6 +547,13 @@ SQL["name_words"] = """SELECT key, n::DOUBLE AS weight FROM (
   SELECT word AS key, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY ALL)
 WHERE NOT (contains(key, 'tif') OR contains(key, 'kml') OR contains(key, 'kmz') OR contains(key, 'gis'))
 ORDER BY n DESC, key LIMIT 10"""
+SQL["sampled_columns"] = f"""WITH {values_cte()},
+chosen AS (SELECT dataset_id FROM (SELECT DISTINCT dataset_id FROM cells) ORDER BY md5('123:' || dataset_id), dataset_id LIMIT 3),
+ranked AS (
+  SELECT dataset_id, column_name, row_number() OVER (
+    PARTITION BY dataset_id ORDER BY md5('123:' || dataset_id || '.' || column_name), column_name) AS rn
+  FROM (SELECT DISTINCT dataset_id, column_name FROM cells) WHERE dataset_id IN (SELECT dataset_id FROM chosen))
+SELECT dataset_id, column_name FROM ranked WHERE rn <= 5"""
 SQL["first_datasets"] = f"""WITH {CATALOG}
 SELECT dataset_id, domain FROM catalog ORDER BY dataset_id LIMIT 200"""
 
@@ -604,7 +621,10 @@ domains AS (SELECT DISTINCT event_type AS domain FROM events UNION ALL SELECT DI
 found AS (
   SELECT domain, count(*) AS files_processed, count(*) FILTER (state = 'valid') AS valid_files
   FROM files GROUP BY ALL)
-SELECT domain, CASE WHEN files_processed IS NULL THEN 'skipped' ELSE 'success' END AS status,
-       CASE WHEN files_processed IS NULL THEN 'no_metadata' END AS reason, files_processed,
+SELECT domain,
+       CASE WHEN e.error IS NOT NULL THEN 'failed' WHEN files_processed IS NULL THEN 'skipped' ELSE 'success' END AS status,
+       CASE WHEN e.error IS NOT NULL THEN e.error WHEN files_processed IS NULL THEN 'no_metadata' END AS reason, files_processed,
        coalesce(valid_files, 0) AS valid_files
-FROM domains LEFT JOIN found USING (domain)"""
+FROM domains LEFT JOIN found USING (domain)
+LEFT JOIN (SELECT role AS domain, min('refused turn ' || turn) AS error FROM conversations WHERE role = 'system' GROUP BY role) e
+  USING (domain)"""

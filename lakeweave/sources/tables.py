@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,17 +17,6 @@ def read_tables(spark: SparkSession, directory: str, names) -> dict[str, DataFra
     return {name: spark.read.parquet(f"{directory}/{name}.parquet") for name in names}
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a freshly read table over all cores if its files give fewer tasks than that.
-
-    Taking a table apart into cells is costly for its size; a small table in one file would be one long
-    task. Tables of more tasks than cores are left alone. Pass a plain file scan: finding out the number of
-    tasks would run any shuffle below.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def kept_columns(df: DataFrame) -> list[T.StructField]:
     """Text and number columns in table order; booleans, dates and nested values are left out."""
     return [f for f in df.schema.fields if isinstance(f.dataType, KEPT_TYPES)]
@@ -54,3 +43,22 @@ def cells_from_tables(tables: dict[str, DataFrame]) -> DataFrame:
     if not parts:
         raise ValueError("no table has a text or number column")
     return reduce(DataFrame.unionByName, parts)
+
+
+def first_cells(df: DataFrame, dataset_id: str, order: list[str], n: int) -> DataFrame:
+    """Cells of the first ``n`` rows in the order of ``order``, with ``row_id`` from 0.
+
+    The rows are limited before the table is taken apart. Where ``order`` does not tell rows apart, the kept columns do; rows that agree in
+    those as well give the same cells.
+    """
+    keys = [F.col(f"`{c}`") for c in dict.fromkeys([*order, *(f.name for f in kept_columns(df))])]
+    first = df.orderBy(*keys).limit(n)
+    # A window without partitions over n rows at most.
+    numbered = first.withColumn("row id", F.row_number().over(Window.orderBy(*keys)) - 1)
+    texts = [scalar_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in kept_columns(df)]
+    names = [f"`{f.name}`" for f in kept_columns(df)]
+    return (
+        numbered.select("row id", *texts)
+        .unpivot(["row id"], names, "column_name", "value")
+        .select(F.lit(dataset_id).alias("dataset_id"), F.col("row id").alias("row_id"), "column_name", "value")
+    )

@@ -7,14 +7,16 @@ after a failure replaces its own output and nothing is counted twice.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.operators.resume import not_yet_done
 from lakeweave.operators.similarity import embed_columns, hashed_terms
 from lakeweave.operators.sketch import (
+    COLUMN_KEY,
     column_values,
     merge_registers,
     registers,
@@ -70,22 +72,33 @@ def update_embeddings(
     checkpoint: str,
     embedder: Callable[[DataFrame], DataFrame] = hashed_terms,
 ) -> None:
-    """Embed the columns of ``stream(dataset_id, column_name, text)`` whose dataset is not stored yet."""
+    """Embed the columns of ``stream(dataset_id, column_name, text)`` that are not stored yet.
+
+    A column is known by dataset and name, so it does not matter which files of a dataset share a batch. Of several texts
+    of one column in a batch the first in text order counts. Each checkpoint folder writes to a folder of its own below
+    ``store``, so a new one adds to a store and replaces nothing in it.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(["dataset_id", "column_name"])
-        done = _earlier_batches(batch.sparkSession, store, batch_id)
+        fresh = batch.groupBy(*COLUMN_KEY).agg(F.min("text").alias("text"))
+        done = _other_batches(batch.sparkSession, store, run, batch_id)
         if done is not None:
-            fresh = not_yet_done(fresh, done.select("dataset_id").distinct(), "dataset_id")
-        embed_columns(fresh, embedder).write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+            same = [fresh[c].eqNullSafe(done[f"done_{c}"]) for c in COLUMN_KEY]
+            fresh = fresh.join(done, same, "left_anti")
+        embed_columns(fresh, embedder).write.mode("overwrite").parquet(f"{store}/run={run}/batch_id={batch_id}")
 
     _run(stream, handle, checkpoint)
 
 
-def _earlier_batches(spark: SparkSession, store: str, batch_id: int) -> DataFrame | None:
-    if batch_id == 0:
+def _other_batches(spark: SparkSession, store: str, run: str, batch_id: int) -> DataFrame | None:
+    """Columns in the store but for those of this batch, which may be run a second time."""
+    try:
+        stored = spark.read.option("basePath", store).parquet(store)
+    except AnalysisException:  # nothing has been written yet
         return None
-    return spark.read.parquet(store).where(F.col("batch_id") < batch_id)
+    own = (F.col("run") == run) & (F.col("batch_id") == batch_id)
+    return stored.where(~own).select(*[F.col(c).alias(f"done_{c}") for c in COLUMN_KEY]).distinct()
 
 
 def stored_embeddings(spark: SparkSession, store: str) -> DataFrame:
