@@ -12,9 +12,6 @@ WHITESPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Integral doubles up to here print without a fraction.
-EXACT_INTEGRAL_LIMIT = 1e15
-
 
 def strip(value: Column) -> Column:
     """Remove Unicode white space at both ends (plain ``trim`` removes blanks only)."""
@@ -26,16 +23,34 @@ def clean_value(value: Column) -> Column:
     return F.lower(strip(value))
 
 
+def plain_number(text: Column) -> Column:
+    """Text of a number in plain notation, without an exponent and without zeros at the end of a fraction.
+
+    The digits stay as they are, so a number has one text whatever type it comes in. Other text is returned unchanged.
+    """
+    parts = "^(-?)([0-9]+)(?:\\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$"
+    before, after = F.regexp_extract(text, parts, 2), F.regexp_extract(text, parts, 3)
+    exponent = F.coalesce(F.nullif(F.regexp_extract(text, parts, 4), F.lit("")).cast("int"), F.lit(0))
+    digits, point = F.concat(before, after), F.length(before) + exponent
+    moved = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= F.length(digits), F.rpad(digits, point, "0"))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+    )
+    short = F.when(moved.contains("."), F.regexp_replace(moved, "\\.?0+$", "")).otherwise(moved)
+    bare = F.regexp_replace(short, "^0+(?=[0-9])", "")
+    signed = F.when(bare == "0", bare).otherwise(F.concat(F.regexp_extract(text, parts, 1), bare))
+    # Most numbers are plain already: digits alone, or a fraction that does not end in 0.
+    done = text.rlike("^-?(0|[1-9][0-9]*)(\\.[0-9]*[1-9])?$") & (text != "-0")
+    return F.when(done | ~text.rlike(parts), text).otherwise(signed)
+
+
 def scalar_text(column: Column, data_type: T.DataType) -> Column:
-    """Text form of a scalar; whole numbers print alike whatever their type, NaN is missing."""
+    """Text form of a scalar; equal numbers print alike whatever their type, NaN is missing."""
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        number = column.cast("double")
-        whole = (number == F.floor(number)) & (F.abs(number) < F.lit(EXACT_INTEGRAL_LIMIT))
-        return (
-            F.when(F.isnan(number), F.lit(None).cast("string"))
-            .when(whole, number.cast("bigint").cast("string"))
-            .otherwise(column.cast("string"))
-        )
+        return F.when(~F.isnan(column), plain_number(column.cast("string")))
+    if isinstance(data_type, T.DecimalType):
+        return plain_number(column.cast("string"))
     return column.cast("string")
 
 

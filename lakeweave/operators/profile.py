@@ -72,8 +72,13 @@ def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [profile_table(df, name) for name, df in tables.items()])
 
 
-def row_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("row_count"))
+def row_counts(rows: DataFrame, landed: DataFrame | None = None) -> DataFrame:
+    """Rows per dataset; datasets of ``landed(dataset_id)`` without a row have 0."""
+    counts = rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("row_count"))
+    if landed is None:
+        return counts
+    known = landed.select("dataset_id").distinct()
+    return known.join(counts, "dataset_id", "left").select("dataset_id", F.coalesce("row_count", F.lit(0)).alias("row_count"))
 
 
 def profile_cells(cells: DataFrame, counts: DataFrame, columns: DataFrame) -> DataFrame:
@@ -163,7 +168,7 @@ def crawl_records(raw: DataFrame) -> DataFrame:
     """Portal metadata to crawl records; null counts are still open.
 
     Only tabular datasets keep a column list. Assets that cannot be queried keep it without statistics
-    and with the row count the portal states; ``queryable`` tells which ones wait for a profile.
+    and with the row count stated beside the metadata; ``queryable`` tells which ones wait for a profile.
     """
     tabular = F.col("view_type") == rules.TABULAR
     unqueryable = F.coalesce("asset_type", F.lit("")).isin(*rules.UNQUERYABLE_ASSETS)
@@ -189,7 +194,7 @@ def crawl_records(raw: DataFrame) -> DataFrame:
         "created_at",
         "publication_date",
         F.col("view_last_modified").alias("updated_at"),
-        F.when(tabular & unqueryable & has_columns, F.col("row_count")).alias("row_count"),
+        F.when(tabular & unqueryable & has_columns, F.col("stated_row_count")).alias("row_count"),
         F.when(tabular & has_columns, columns).alias("columns"),
         F.coalesce(tabular & ~unqueryable & has_columns, F.lit(False)).alias("queryable"),
     )

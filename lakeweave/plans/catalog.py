@@ -30,14 +30,16 @@ from lakeweave.sources.lake import (
 )
 
 
-def profiled_records(bodies: DataFrame, rows: DataFrame) -> DataFrame:
+def profiled_records(bodies: DataFrame, rows: DataFrame, landed: DataFrame | None = None) -> DataFrame:
     """Crawl records of portal documents, with row counts and null profiles of the landed rows.
 
+    ``landed(dataset_id)`` names the datasets that have arrived, so that one without rows is told from one that is missing.
+
     The parsed records are stored, because both the column list and the result are taken from them.
     """
     records = materialize(crawl_records(portal_metadata(bodies)), "records")
     profile = profile_cells(
-        cells_of_rows(rows, nested=True), row_counts(rows), schema_of_records(records)
+        cells_of_rows(rows, nested=True), row_counts(rows, landed), schema_of_records(records)
     )
     return attach_profile(records, profile).drop("queryable")
 

@@ -788,6 +788,7 @@ def portal_documents(spark, d) -> DataFrame:
         """'{"category": "' || event_type || '", "viewType": "' || CASE WHEN event_id % 4 = 3 THEN 'map' ELSE 'tabular' END
            || '", "assetType": "' || CASE WHEN event_id % 6 = 1 THEN 'filter' ELSE 'dataset' END
            || '", "rowCount": ' || event_id || ', "viewCount": ' || user_id
+           || ', "metadata": {"rowCount": "' || (event_id + 1000000) || '"}'
            || ', "columns": [{"fieldName": "k", "dataTypeName": "number"}, {"fieldName": "type", "dataTypeName": "text"},'
            || ' {"fieldName": ":@region", "dataTypeName": "text"}, {"name": "none"}]}' AS body""",
     )
@@ -795,7 +796,8 @@ def portal_documents(spark, d) -> DataFrame:
 
 @query
 def profiled_catalog(spark, d):
-    records = profiled_records(portal_documents(spark, d), landed_rows(spark, d))
+    landed = lake.route_payloads(payloads(spark, d)).where("route IN ('accepted', 'empty')")
+    records = profiled_records(portal_documents(spark, d), landed_rows(spark, d), landed)
     return records.select(
         "domain",
         "dataset_id",
@@ -817,6 +819,57 @@ def profiled_catalog(spark, d):
     )
 
 
+@query
+def portal_records(spark, d):
+    """Times as whole and fractional numbers, as ISO text and as text nobody can read; two different row counts."""
+    documents = table(spark, d, "events").selectExpr(
+        "event_type AS domain",
+        "'e' || event_id AS dataset_id",
+        """'{"createdAt": ' || CASE event_id % 3 WHEN 0 THEN cast(unix_seconds(cast(ts AS timestamp)) AS string)
+                WHEN 1 THEN '"' || date_format(ts, "yyyy-MM-dd'T'HH:mm:ss") || 'Z"' ELSE unix_seconds(cast(ts AS timestamp)) || '.5' END
+           || ', "rowsUpdatedAt": ' || CASE event_id % 5 WHEN 0 THEN '""' WHEN 1 THEN (unix_seconds(cast(ts AS timestamp)) + 60) || '' WHEN 2 THEN '"soon"'
+                WHEN 3 THEN 'null' ELSE '0' END
+           || ', "dataUpdatedAt": "' || date_format(ts, "yyyy-MM-dd'T'HH:mm:ss") || '+00:00"'
+           || CASE WHEN event_id % 2 = 0 THEN ', "metadata": {"rowCount": "' || event_id * 2 || '"}' ELSE '' END
+           || ', "rowCount": ' || event_id || ', "viewType": "tabular", "assetType": "filter", "columns": [{"fieldName": "k"}]}' AS body""",
+    )
+    raw = lake.portal_metadata(documents)
+    crawled = profile.crawl_records(raw).select("dataset_id", F.col("row_count").alias("crawl_rows"))
+    reported = profile.report_records(raw, NOW).select(
+        "dataset_id", F.unix_seconds("created_at").alias("created_at"), F.unix_seconds("updated_at").alias("updated_at"), "row_count"
+    )
+    return reported.join(crawled, "dataset_id")
+
+
+@query
+def strict_routes(spark, d):
+    """What follows a value, and text that looks like nothing, decide the route as well."""
+    bodies = table(spark, d, "events").selectExpr(
+        "'e' || event_id AS dataset_id",
+        "200 AS status",
+        """element_at(array('[{"a": 1}] trailing', '["0"]', '[0, "", false, null, {}, [], 0.0]', '{"error": "false"}', '{"error": 0}',
+                            '[1]] x', '[[null]]', '[1]} x', '[1],[2]'), cast(event_id % 9 AS int) + 1) AS body""",
+    )
+    return lake.route_payloads(bodies).select("dataset_id", "route")
+
+
+@query
+def number_keys(spark, d):
+    """One text for a number, whatever type it is stored in; beyond 10 million and 10 to the 15th."""
+    rows = table(spark, d, "orders").selectExpr(
+        "o_orderkey AS id", "1000000000000000 + o_orderkey * 1000 AS whole", "12345678 + o_orderkey AS part"
+    )
+    typed = rows.selectExpr(
+        "id", "whole AS a", "cast(whole AS double) AS b", "cast(whole AS decimal(30, 4)) AS c",
+        "cast(part + 0.5 AS double) AS d", "cast(part + 0.5 AS decimal(20, 3)) AS e", "cast(1 / (part * 100.0) AS double) AS tiny",
+    )
+    texts = cells_of(typed, "t", "id").where("column_name <> 'id'").groupBy("row_id").pivot("column_name", ["a", "b", "c", "d", "e", "tiny"]).agg(F.first("value"))
+    documents = rows.selectExpr("cast(id AS string) AS dataset_id", "0 AS row_id", """'{"f": ' || cast(cast(whole AS double) AS string) || ', "g": ' || (part + 0.5) || '00}' AS row""")
+    found = lake.cells_of_rows(documents).groupBy(F.col("dataset_id").cast("bigint").alias("row_id")).pivot("column_name", ["f", "g"]).agg(F.first("value"))
+    exponent = F.col("tiny").rlike("[eE]")
+    return texts.join(found, "row_id").select("row_id", "a", "b", "c", "d", "e", "f", "g", exponent.alias("exponent"))
+
+
 def metadata_files(spark, d) -> DataFrame:
     """One metadata file per turn of a conversation; some are broken."""
     return table(spark, d, "conversations").selectExpr(

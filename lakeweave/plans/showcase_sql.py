@@ -598,11 +598,22 @@ SQL["profiled_catalog"] = f"""WITH {_PAYLOADS}
 SELECT event_type AS domain, dataset_id,
   CASE WHEN event_id % 4 = 3 THEN 'map' ELSE 'tabular' END AS format,
   CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 6 = 1 THEN event_id
-       WHEN route = 'accepted' THEN 3 END AS row_count,
+       WHEN route = 'accepted' THEN 3 WHEN route = 'empty' THEN 0 END AS row_count,
   CASE WHEN event_id % 4 = 3 THEN NULL
        WHEN event_id % 6 <> 1 AND route = 'accepted' THEN 'k/number/2/0 type/text/2/2 :@region/text/0/0'
+       WHEN event_id % 6 <> 1 AND route = 'empty' THEN 'k/number/0/0 type/text/0/0 :@region/text/0/0'
        ELSE 'k/number/?/? type/text/?/? :@region/text/?/?' END AS columns
 FROM payloads"""
+SQL["portal_records"] = """SELECT 'e' || event_id AS dataset_id, floor(epoch(ts))::BIGINT AS created_at,
+  CASE event_id % 5 WHEN 1 THEN floor(epoch(ts))::BIGINT + 60 WHEN 2 THEN NULL ELSE floor(epoch(ts))::BIGINT END AS updated_at,
+  CASE WHEN event_id % 2 = 0 THEN event_id * 2 END AS row_count, event_id AS crawl_rows
+FROM events"""
+SQL["strict_routes"] = """SELECT 'e' || event_id AS dataset_id,
+  ['not_json', 'accepted', 'empty', 'error', 'not_array', 'not_json', 'accepted', 'not_json', 'not_json'][event_id % 9 + 1] AS route
+FROM events"""
+SQL["number_keys"] = """WITH n AS (
+  SELECT o_orderkey AS row_id, (1000000000000000 + o_orderkey * 1000)::VARCHAR AS w, (12345678 + o_orderkey)::VARCHAR || '.5' AS p FROM orders)
+SELECT row_id, w AS a, w AS b, w AS c, p AS d, p AS e, w AS f, p AS g, false AS exponent FROM n"""
 _FILES = """files AS (
   SELECT role AS domain, conv_id || '-' || turn AS dataset_id, role, turn,
     CASE (conv_id + turn) % 7 WHEN 0 THEN 'empty' WHEN 1 THEN 'empty' WHEN 2 THEN 'not_object'

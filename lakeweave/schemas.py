@@ -32,8 +32,8 @@ CRAWL_RECORDS = (
 # Field names of a portal's own metadata document.
 PORTAL_FILE = (
     "name string, category string, tags array<string>, viewType string, downloadType string, "
-    "assetType string, createdAt bigint, publicationDate bigint, viewLastModified bigint, "
-    "rowsUpdatedAt bigint, dataUpdatedAt bigint, viewCount bigint, downloadCount bigint, "
+    "assetType string, createdAt variant, publicationDate variant, viewLastModified variant, "
+    "rowsUpdatedAt variant, dataUpdatedAt variant, viewCount bigint, downloadCount bigint, "
     "metadata struct<rowCount: string>, rowCount bigint, "
     "columns array<struct<fieldName: string, name: string, dataTypeName: string>>"
 )

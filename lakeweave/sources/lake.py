@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave import schemas
-from lakeweave.functions.text import strip
+from lakeweave.functions import times
+from lakeweave.functions.text import plain_number, strip
 from lakeweave.operators.sketch import COLUMN_KEY
 
 ROUTES = ("accepted", "empty", "error", "not_json", "not_array")
@@ -38,14 +39,36 @@ def _starts_with(body: Column, token: str) -> Column:
     return F.coalesce(strip(body).startswith(token), F.lit(False))
 
 
+def is_json(body: Column) -> Column:
+    """Whether the whole text is one JSON value.
+
+    The parsers stop behind the first value. With something around the text, what follows the value has to be what was put there; two
+    different frames leave no text that closes both by itself.
+    """
+    framed = [F.concat(F.lit(a), body, F.lit(b)) for a, b in (("[", "]"), ('{"v":', "}"))]
+    return F.coalesce(F.try_parse_json(framed[0]).isNotNull() & F.try_parse_json(framed[1]).isNotNull(), F.lit(False))
+
+
 def _elements(body: Column) -> Column:
     """Elements of a JSON array as JSON text; null for anything else."""
     return F.when(_starts_with(body, "["), F.from_json(body, "array<string>"))
 
 
 def _is_blank_row(row: Column) -> Column:
-    """An array element that holds nothing: null, {}, [], 0, false or empty text."""
-    return row.isNull() | F.regexp_replace(row, "\\s", "").isin("", "{}", "[]", "0", "0.0", "false")
+    """A record, as JSON text, that holds nothing."""
+    return row.isNull() | (F.regexp_replace(row, "\\s", "") == "{}")
+
+
+def holds_nothing(value: Column) -> Column:
+    """A JSON value that counts as false: none, null, false, 0, empty text, array or object. Text is judged as text: "0" and "false" hold something."""
+    kind = F.schema_of_variant(value)
+    return (
+        F.when(value.isNull() | kind.isin("VOID", "OBJECT<>"), True)
+        .when(kind == "BOOLEAN", ~F.try_variant_get(value, "$", "boolean"))
+        .when(kind == "STRING", F.try_variant_get(value, "$", "string") == "")
+        .when(kind.startswith("ARRAY"), F.to_json(value) == "[]")
+        .otherwise(F.coalesce(F.try_variant_get(value, "$", "double") == 0, F.lit(False)))
+    )
 
 
 def route_payloads(raw: DataFrame) -> DataFrame:
@@ -54,15 +77,13 @@ def route_payloads(raw: DataFrame) -> DataFrame:
     A JSON object with a true ``error`` or an HTTP error is ``error``; an array without content is
     ``empty``; a good status with text that is not JSON, or JSON that is no array, gets a route of its own.
     """
-    elements = _elements(F.col("body"))
-    parsed = F.try_parse_json("body")
-    is_object = _starts_with(F.col("body"), "{") & parsed.isNotNull()
-    error = F.coalesce(F.get_json_object("body", "$.error"), F.lit(""))
-    refused = is_object & ~error.isin("", "false", "null", "0", "{}", "[]")
+    parsed = F.when(is_json(F.col("body")), F.try_parse_json("body"))
+    elements = F.when(_starts_with(F.col("body"), "["), F.try_variant_get(parsed, "$", "array<variant>"))
+    refused = _starts_with(F.col("body"), "{") & ~holds_nothing(F.try_variant_get(parsed, "$.error", "variant"))
     return raw.select(
         "*",
-        F.when(refused | (F.coalesce("status", F.lit(0)) >= 400), "error")
-        .when(elements.isNotNull() & F.forall(elements, _is_blank_row), "empty")
+        F.when(F.coalesce(refused, F.lit(False)) | (F.coalesce("status", F.lit(0)) >= 400), "error")
+        .when(elements.isNotNull() & F.forall(elements, holds_nothing), "empty")
         .when(elements.isNotNull(), "accepted")
         .when(parsed.isNotNull(), "not_array")
         .otherwise("not_json")
@@ -76,10 +97,8 @@ def rows_of(bodies: DataFrame) -> DataFrame:
 
 
 def _plain(value: Column, json_type: Column) -> Column:
-    """Whole numbers without a fraction, whatever they were written like."""
-    return F.when(
-        json_type.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.regexp_replace(value, "\\.0+$", "")
-    ).otherwise(value)
+    """Numbers in plain notation, whatever they were written like."""
+    return F.when(json_type.rlike("^(DECIMAL|DOUBLE|FLOAT)"), plain_number(value)).otherwise(value)
 
 
 def cells_of_rows(rows: DataFrame, nested: bool = False) -> DataFrame:
@@ -211,7 +230,16 @@ def crawl_metadata(checked: DataFrame) -> DataFrame:
 
 
 def portal_metadata(bodies: DataFrame) -> DataFrame:
-    """Portal documents ``(domain, dataset_id, body)`` as the input of crawl and report records."""
+    """Portal documents ``(domain, dataset_id, body)`` as the input of crawl and report records.
+
+    Times are epoch seconds, from whole or fractional numbers or from ISO text. A row time in text that cannot be read hides the
+    time of the data, as a readable one does. ``row_count`` is what the document's own metadata states, ``stated_row_count`` the number beside it.
+    """
+    def epoch(name: str) -> Column:
+        return F.unix_seconds(times.from_variant(F.col(f"m.{name}")))
+
+    rows_updated = F.col("m.rowsUpdatedAt")
+    unreadable = (F.schema_of_variant(rows_updated) == "STRING") & (F.try_variant_get(rows_updated, "$", "string") != "") & epoch("rowsUpdatedAt").isNull()
     columns = F.transform(
         F.col("m.columns"),
         lambda c: F.struct(
@@ -231,16 +259,15 @@ def portal_metadata(bodies: DataFrame) -> DataFrame:
         F.col("m.viewType").alias("view_type"),
         F.col("m.downloadType").alias("download_type"),
         F.col("m.assetType").alias("asset_type"),
-        F.col("m.createdAt").alias("created_at"),
-        F.col("m.publicationDate").alias("publication_date"),
-        F.col("m.viewLastModified").alias("view_last_modified"),
-        F.col("m.rowsUpdatedAt").alias("rows_updated_at"),
-        F.col("m.dataUpdatedAt").alias("data_updated_at"),
+        epoch("createdAt").alias("created_at"),
+        epoch("publicationDate").alias("publication_date"),
+        epoch("viewLastModified").alias("view_last_modified"),
+        epoch("rowsUpdatedAt").alias("rows_updated_at"),
+        F.when(~F.coalesce(unreadable, F.lit(False)), epoch("dataUpdatedAt")).alias("data_updated_at"),
         F.col("m.viewCount").alias("view_count"),
         F.col("m.downloadCount").alias("download_count"),
-        F.coalesce(F.col("m.metadata.rowCount").try_cast("bigint"), F.col("m.rowCount")).alias(
-            "row_count"
-        ),
+        F.col("m.metadata.rowCount").try_cast("bigint").alias("row_count"),
+        F.col("m.rowCount").alias("stated_row_count"),
         columns.alias("columns"),
     )
 
