@@ -19,7 +19,7 @@ from lakeweave.plans.catalog import domain_summaries, profiled_records
 from lakeweave.plans.joinability import lake_sketches
 from lakeweave.plans.similarity import alike_columns
 from lakeweave.session import scratch_path
-from lakeweave.sources import lake
+from lakeweave.sources import files, lake
 from lakeweave.sources.tables import cells_from_tables, cells_of, first_cells, read_tables
 from lakeweave.streaming import incremental
 
@@ -950,3 +950,94 @@ def streamed_embeddings(spark, d):
     )
     incremental.update_embeddings(stream, store, progress)
     return incremental.stored_embeddings(spark, store)
+
+
+# --- stores: written to the shared folder and read back ------------------------------------------------
+
+
+@query
+def stored_pairs(spark, d):
+    path = scratch_path(spark, "pairs")
+    files.write_pairs(pairs(spark, d), path)
+    return files.read_pairs(spark, path)
+
+
+@query
+def stored_labels(spark, d):
+    path = scratch_path(spark, "labels")
+    rows = table(spark, d, "part").selectExpr("p_brand AS other", "p_name AS name", "'p' || p_partkey AS dataset_id")
+    files.write_report(rows, path)
+    return files.read_labels(spark, path)
+
+
+@query
+def stored_population(spark, d):
+    path = scratch_path(spark, "population")
+    rows = population(spark, d).withColumn("state/province", F.concat(F.lit('a, "b" '), "city"))
+    files.write_report(rows, path)
+    return files.read_population(spark, path).withColumnRenamed("state/province", "state")
+
+
+@query
+def stored_lines(spark, d):
+    path = scratch_path(spark, "lines")
+    urls = table(spark, d, "pages").selectExpr("explode(array(concat('  ', url, ' '), '   ')) AS value")
+    files.write_lines(urls, path)
+    return files.read_lines(spark, path)
+
+
+@query
+def stored_matches(spark, d):
+    path = scratch_path(spark, "matches")
+    # The top matches, as the one JSON array that is exchanged.
+    top = similarity.top_matches(matches(spark, d)).agg(F.to_json(F.collect_list(F.struct("col1", "col2", "score"))).alias("value"))
+    files.write_lines(top, path)
+    return files.read_matches(spark, path).withColumn("score", F.round("score", 9))
+
+
+@query
+def stored_sketches(spark, d):
+    path = scratch_path(spark, "stored-sketches")
+    files.write_sketches(sketches(spark, d), path)
+    return sketch.signature_rows(files.read_sketches(spark, path))
+
+
+@query
+def stored_embeddings(spark, d):
+    path = scratch_path(spark, "stored-embeddings")
+    rows = table(spark, d, "embeddings").selectExpr(
+        "'label' || label AS dataset_id", "'v' || vec_id AS column_name", "cast(embedding AS array<double>) AS embedding"
+    )
+    for part in (0, 1):
+        files.append_embeddings(rows.where(F.substring("column_name", 2, 20).cast("bigint") % 2 == part), path)
+    return files.read_embeddings(spark, path).select(
+        *sketch.COLUMN_KEY, F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total")
+    )
+
+
+@query
+def stored_summary(spark, d):
+    path = scratch_path(spark, "summary")
+    files.write_summary(summary.catalog_summary(catalog(spark, d), NOW), path)
+    return files.read_summary(spark, path)
+
+
+@query
+def stored_counts(spark, d):
+    path = scratch_path(spark, "counts")
+    files.write_counts(count_run(spark, d), path)
+    return files.read_counts(spark, path)
+
+
+@query
+def stored_routes(spark, d):
+    path = scratch_path(spark, "routes")
+    files.write_routed(lake.route_payloads(payloads(spark, d)), path)
+    return spark.read.parquet(path).select("dataset_id", "route")
+
+
+@query
+def schemas_with_fallback(spark, d):
+    """Field lists of landed records, else of the portal's documents."""
+    found = lake.schemas_or_metadata(lake.record_schemas(landed_rows(spark, d)), lake.portal_metadata(portal_documents(spark, d)))
+    return found.select("dataset_id", F.array_join("fields", ",").alias("fields"))

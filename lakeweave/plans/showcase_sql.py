@@ -639,3 +639,21 @@ SELECT domain,
 FROM domains LEFT JOIN found USING (domain)
 LEFT JOIN (SELECT role AS domain, min('refused turn ' || turn) AS error FROM conversations WHERE role = 'system' GROUP BY role) e
   USING (domain)"""
+
+# --- stores -------------------------------------------------------------------------------------------
+
+SQL["stored_pairs"] = SQL["joinable_columns"]
+SQL["stored_labels"] = "SELECT 'p' || p_partkey AS dataset_id, p_name AS name FROM part"
+SQL["stored_population"] = f"""WITH {_RUNS}
+SELECT domain, city, 'a, "b" ' || city AS state, population FROM population"""
+SQL["stored_lines"] = "SELECT trim(url) AS value FROM pages"
+SQL["stored_matches"] = SQL["top_matches"]
+SQL["stored_sketches"] = SQL["minhash_signature"]
+SQL["stored_embeddings"] = """SELECT 'label' || label AS dataset_id, 'v' || vec_id AS column_name,
+  round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings"""
+SQL["stored_summary"] = SQL["catalog_summary"]
+SQL["stored_counts"] = f"WITH {_RUNS} SELECT * FROM run"
+SQL["stored_routes"] = SQL["payload_routes"]
+SQL["schemas_with_fallback"] = f"""WITH {_PAYLOADS}
+SELECT dataset_id, CASE WHEN route = 'accepted' THEN array_to_string(json_keys(props), ',') ELSE 'k,type,:@region' END AS fields
+FROM payloads"""
