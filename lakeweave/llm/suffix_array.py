@@ -32,6 +32,8 @@ PIECE = 1 << 20
 PLACE_BITS = 22
 #: Entries of a task that are compared with each other before they are sent.
 TOGETHER = 400_000
+#: Answers for so many neighbouring texts (a power of two) travel together.
+LOT_BITS = 7
 #: Verdicts on a run of windows: all repeat; all repeat and others must be compared with them; to be compared.
 SETTLED, EVIDENCE, OPEN = 1, 2, 3
 
@@ -113,8 +115,9 @@ def runs_of(pieces: list[tuple[int, int, bytes]], length: int):
 class Parcel:
     """Entries of a task on their way to the buckets of their names."""
 
-    def __init__(self, buckets: int):
-        self.buckets = buckets
+    def __init__(self, buckets: int, single: bool = False):
+        """``single``: names and wholes are the same, and are sent once."""
+        self.buckets, self.single = buckets, single
         self.held: list[tuple] = []
         self.count = 0
 
@@ -132,20 +135,18 @@ class Parcel:
         # Flag 1: known to repeat. Flag 2: nothing is left to find out, only to be passed on. Flag 4: there for others, not to be answered.
         free = np.flatnonzero((flags & 2) == 0)
         order = free[np.argsort(whole[free], kind="stable")]
-        same = whole[order][1:] == whole[order][:-1]
-        again = np.concatenate([[False], same])
-        has_more = np.concatenate([same, [False]])
-        flags[order[again | has_more]] |= 1
-        flags[order[again]] |= 2
+        same = np.flatnonzero(whole[order][1:] == whole[order][:-1])
+        flags[order[same]] |= 1
+        flags[order[same + 1]] |= 3
         answered = (flags & 6) != 6
         bucket = (names % np.uint64(self.buckets)).astype(np.int32)
         order = np.flatnonzero(answered)
         order = order[np.argsort(bucket[order], kind="stable")]
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own = order[a:b]
             base = owners[own]
-            packed = [names[own].tobytes(), whole[own].tobytes(), *(pa.compress(c.tobytes(), codec="zstd", asbytes=True) for c in (np.diff(base, prepend=0), places[own], sizes[own], flags[own]))]
+            packed = [names[own].tobytes(), b"" if self.single else whole[own].tobytes(), *(pa.compress(c.tobytes(), codec="zstd", asbytes=True) for c in (np.diff(base, prepend=0), places[own], sizes[own], flags[own]))]
             yield pa.RecordBatch.from_arrays([pa.array([bucket[own[0]]], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=_PACKED)
 
 
@@ -156,7 +157,7 @@ def unpacked(batches) -> tuple[np.ndarray, ...] | None:
         for row in zip(*(batch.column(k) for k in range(1, 7)), strict=True):
             names = np.frombuffer(row[0].as_py(), np.uint64)
             columns[0].append(names)
-            columns[1].append(np.frombuffer(row[1].as_py(), np.uint64))
+            columns[1].append(np.frombuffer(row[1].as_py(), np.uint64) if len(row[1].as_py()) else names)
             for k, raw in enumerate(row[2:], 2):
                 kind = np.dtype(_KINDS[k])
                 values = np.frombuffer(pa.decompress(raw.as_py(), len(names) * kind.itemsize, codec="zstd", asbytes=True), kind)
@@ -231,17 +232,17 @@ def _second_pass(length: int, buckets: int):
     """Open runs to their windows. Settled runs go along as they are."""
 
     def send(batches):
-        parcel = Parcel(buckets)
+        parcel = Parcel(buckets, single=True)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            entries = batch.column(2)
+            keys, texts, entries = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
             for k, text in enumerate(texts):
-                entry = np.array(entries[k].values if hasattr(entries[k], "values") else entries[k].as_py(), dtype=np.int64)
+                entry = entries[k].values.to_numpy(zero_copy_only=False)
                 place, size, verdict = entry >> 20, (entry >> 4) & 0xFFFF, entry & 15
                 settled = np.flatnonzero(verdict != OPEN)
                 if len(settled):
                     n = len(settled)
-                    parcel.add(mixed(place[settled].astype(np.uint64) + np.uint64(keys[k] & 0xFFFFFFFF)), np.zeros(n), np.full(n, keys[k]), place[settled], size[settled], np.full(n, 2))
+                    spread = mixed(place[settled].astype(np.uint64) + np.uint64(keys[k] & 0xFFFFFFFF))
+                    parcel.add(spread, spread, np.full(n, keys[k]), place[settled], size[settled], np.full(n, 2))
                 asked = np.flatnonzero(verdict != SETTLED)
                 if len(asked):
                     raw = text.encode("utf-8", "surrogatepass")
@@ -271,7 +272,7 @@ def _second_pass(length: int, buckets: int):
 
 
 def _sort_windows(batches):
-    """Windows sorted by rank: those that repeat, as starts and numbers of windows for each text."""
+    """Windows sorted by rank: text, start and number of those that repeat, in one row for each lot of neighbouring texts."""
     found = unpacked(batches)
     if found is None:
         return
@@ -288,33 +289,50 @@ def _sort_windows(batches):
     order = kept[np.argsort(owners[kept], kind="stable")]
     if not len(order):
         return
-    pairs = np.stack([places[order], sizes[order].astype(np.int32)], axis=1)
-    _, first = _groups(owners[order])
-    ends = [*first[1:], len(order)]
-    for a in range(0, len(first), 20_000):
-        rows = range(a, min(a + 20_000, len(first)))
-        yield pa.RecordBatch.from_arrays([pa.array(owners[order[first[a : a + 20_000]]]), pa.array([pairs[first[i] : ends[i]].tobytes() for i in rows], pa.binary())], names=["row_key", "windows"])
+    rows = np.stack([owners[order], places[order].astype(np.int64), sizes[order].astype(np.int64)], axis=1)
+    lot, first = _groups(rows[:, 0] >> LOT_BITS)
+    ends = [*first[1:].tolist(), len(order)]
+    for a in range(0, len(first), 2_000):
+        packed = [pa.compress(rows[i:j].tobytes(), codec="zstd", asbytes=True) for i, j in zip(first[a : a + 2_000].tolist(), ends[a : a + 2_000], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[first[a : a + 2_000], 0] >> LOT_BITS), pa.array([int(e - f) for f, e in zip(first[a : a + 2_000], ends[a : a + 2_000], strict=True)], pa.int32()), pa.array(packed, pa.binary())], names=["lot", "n", "windows"])
+
+
+def _by_text(batches):
+    """The answers for a lot of neighbouring texts, text by text."""
+    for batch in batches:
+        counts, packed = batch.column(1), batch.column(2)
+        for k in range(len(batch)):
+            parts = [np.frombuffer(pa.decompress(raw, n * 24, codec="zstd", asbytes=True), np.int64) for n, raw in zip(counts[k].as_py(), packed[k].as_py(), strict=True)]
+            rows = np.concatenate(parts).reshape(-1, 3)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            _, first = _groups(rows[:, 0])
+            pairs = rows[:, 1:].astype(np.int32)
+            data = [pairs[i:j].tobytes() for i, j in zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[first, 0]), pa.array(data, pa.binary())], names=["row_key", "parts"])
 
 
 def repeated_windows(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The keyed texts, and for each text with repeats the list of its repeated windows (``row_key``, ``parts``: pairs of start and number)."""
+    """The keyed texts, and for each text with repeats the list of its repeated windows (``row_key``, ``parts``: start and number in 32 bits each)."""
     if not 16 <= length <= 4096:
         raise ValueError("length must lie between 16 and 4096")
     spark = docs.sparkSession
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed(documents_of(docs, id_col, text_col))
     anchors = texts.select("row_key", "text").mapInArrow(_first_pass(length, buckets), PACKED).repartition("bucket")
     verdicts = anchors.mapInArrow(_sort_anchors, "row_key long, entry long").groupBy("row_key").agg(F.collect_list("entry").alias("entries"))
-    asked = texts.join(verdicts.hint("shuffle_hash"), "row_key").select("row_key", "text", "entries")
+    # doc_id is not needed here, but with it the texts are shuffled in the same way, and so once, for this join and the last one.
+    asked = texts.join(verdicts.hint("shuffle_hash"), "row_key").select("row_key", "doc_id", "text", "entries")
     windows = asked.mapInArrow(_second_pass(length, buckets), PACKED).repartition("bucket")
-    return texts, windows.mapInArrow(_sort_windows, "row_key long, windows binary").groupBy("row_key").agg(F.collect_list("windows").alias("parts"))
+    lots = windows.mapInArrow(_sort_windows, "lot long, n int, windows binary").groupBy("lot")
+    held = lots.agg(F.collect_list(F.struct("n", "windows")).alias("all")).select("lot", F.col("all.n").alias("n"), F.col("all.windows").alias("windows"))
+    return texts, held.mapInArrow(_by_text, "row_key long, parts binary")
 
 
-def removed_runs(parts: list[bytes] | None, length: int) -> list[tuple[int, int]]:
+def removed_runs(parts: bytes | None, length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes (from, to) that the windows cover."""
     if not parts:
         return []
-    pairs = np.frombuffer(b"".join(parts), dtype=np.int32).reshape(-1, 2).astype(np.int64)
+    pairs = np.frombuffer(parts, dtype=np.int32).reshape(-1, 2).astype(np.int64)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     start, end = pairs[:, 0], np.maximum.accumulate(pairs[:, 0] + pairs[:, 1] - 1 + length)
     new = np.concatenate([[True], start[1:] > end[:-1]])
