@@ -18,8 +18,11 @@ SAMPLES = 25
 API_SAMPLES = 50
 MIN_SCORE = 0.90
 TOP = 50
-BLOCK = 1024
-MAX_PIVOTS = 1024
+# Vectors of a block, and how many of them are multiplied with the other block at once.
+BLOCK = 16_384
+AT_ONCE = 512
+# A bound of what is collected and sent to all tasks; more vectors than BLOCK times this make larger cells, not other results.
+MAX_PIVOTS = 4096
 _SLACK = 1e-9
 # The arc cosine of numbers near 1 is good to about 1e-8.
 _ANGLE_SLACK = 1e-6
@@ -93,14 +96,16 @@ def _assign_pivots(pivots: np.ndarray, reach: float):
 
     def assign(batches):
         for pdf in batches:
-            unit = np.stack(pdf["embedding"].to_numpy()) / pdf["norm"].to_numpy()[:, None]
-            angle = np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
-            home = angle.argmin(axis=1)
-            near = angle <= angle.min(axis=1)[:, None] + 2 * reach + _ANGLE_SLACK
-            near &= np.arange(len(pivots))[None, :] < home[:, None]
-            yield pdf.assign(
-                home=home.astype("int32"), visits=[np.flatnonzero(row).astype("int32") for row in near]
-            )
+            for start in range(0, len(pdf), AT_ONCE):
+                part = pdf.iloc[start : start + AT_ONCE]
+                unit = np.stack(part["embedding"].to_numpy()) / part["norm"].to_numpy()[:, None]
+                angle = np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
+                home = angle.argmin(axis=1)
+                near = angle <= angle.min(axis=1)[:, None] + 2 * reach + _ANGLE_SLACK
+                near &= np.arange(len(pivots))[None, :] < home[:, None]
+                yield part.assign(
+                    home=home.astype("int32"), visits=[np.flatnonzero(row).astype("int32") for row in near]
+                )
 
     return assign
 
@@ -113,8 +118,13 @@ def _score_block(min_score: float):
         if len(left) and len(right):
             a = np.stack(left["embedding"].to_numpy())
             b = np.stack(right["embedding"].to_numpy())
-            scale = left["norm"].to_numpy()[:, None] * right["norm"].to_numpy()[None, :]
-            i, j = np.nonzero(a @ b.T / scale >= min_score - _SLACK)
+            norm_a, norm_b = left["norm"].to_numpy(), right["norm"].to_numpy()
+            near = []
+            for start in range(0, len(a), AT_ONCE):
+                cosine = a[start : start + AT_ONCE] @ b.T / (norm_a[start : start + AT_ONCE, None] * norm_b[None, :])
+                i, j = np.nonzero(cosine >= min_score - _SLACK)
+                near.append((i + start, j))
+            i, j = (np.concatenate(part) for part in zip(*near, strict=True))
             names_a = left["name"].to_numpy()[i]
             names_b = right["name"].to_numpy()[j]
             # Within one block every pair shows up in both orders; between blocks in one.

@@ -26,13 +26,14 @@ def local_session(cores: int | str = 8, app: str = "lakeweave", memory: str = "1
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Local sessions without the setting get a folder of their own. A cluster without it is an error,
-    because a machine-local folder is lost with its executor.
+    Only a session whose executor is the driver itself, as in tests, may do without the setting and gets a folder of its own. Anything
+    with executors of its own, ``local-cluster`` included, has to name one, because a machine-local folder is lost with its executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     path = tempfile.mkdtemp(prefix="lakeweave-")
     spark.conf.set("spark.checkpoint.dir", path)
