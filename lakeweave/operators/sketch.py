@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions import hashing
 from lakeweave.functions.text import clean_value
+from lakeweave.session import materialize
 
 COLUMN_KEY = ["dataset_id", "column_name"]
 NUM_HASHES = 128
@@ -137,6 +138,9 @@ def build_sketches(
     if cardinality not in CARDINALITY_MODES:
         raise ValueError(f"cardinality must be one of {CARDINALITY_MODES}, not {cardinality!r}")
     values = column_values(cells)
+    if min_support or keep_empty or cardinality != "registers":
+        # Read more than once below: the source is scanned and made distinct a single time.
+        values = materialize(values, "values")
     banks = registers(values, num_hashes, precision, family)
     sketches = sketches_from_registers(banks, num_hashes, precision)
     if cardinality != "registers":

@@ -41,14 +41,16 @@ def lake_pairs(
 
 def landed_sketches(spark: SparkSession, path: str, min_support: int = 50, **options) -> DataFrame:
     """Stored sketches of the JSON datasets landed below ``path``."""
-    rows = read_rows(spark, path)
+    # Files are split into records once; the records, which are many tasks, are what is parsed and counted.
+    rows = materialize(read_rows(spark, path), "landed-rows")
     cells = cells_of_rows(rows)
     sketches = build_sketches(cells, min_support=min_support, **options)
     return materialize(without_columns(sketches, boolean_columns(cells, rows)), "sketches")
 
 
 def join_graph(pairs: DataFrame, labels: DataFrame, n: int = 15) -> dict[str, DataFrame]:
-    """The reports on a set of joinable pairs."""
+    """The reports on a set of joinable pairs, which are made once and stored."""
+    pairs = materialize(pairs, "graph-pairs")
     edges = dataset_edges(pairs)
     named = label_table(labels)
     return {

@@ -49,3 +49,9 @@ def test_no_cross_joins_in_the_cosine_join(spark):
     )
     text = plan(similarity.cosine_pairs(vectors, 0.3))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_support_and_sketch_scan_the_source_once(spark):
+    cells = cells_of(spark.read.parquet(f"{D}/orders.parquet"), "orders")
+    text = plan(sketch.build_sketches(cells, min_support=50))
+    assert "orders.parquet" not in text and text.count("FileScan") == 2
