@@ -373,24 +373,42 @@ def repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col
     return _with_parts(docs, length, id_col, text_col).mapInArrow(answer, "row_key long, doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row_key`` and ``kept``, the text without its repeated bytes, of each row. A character of which a byte goes, goes."""
+def cut_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """``docs``, with all its columns, without the repeated bytes of its column ``text``; ``n_chars``, if there is one, follows a changed text.
 
-    def answer(batches):
+    A character of which a byte goes, goes. A row that had text and has none but white space left goes; null texts stay.
+    """
+    names = docs.columns
+    key = "row_key"
+    while key in {c.lower() for c in names}:
+        key += "_"
+    _, windows = repeated_windows(docs, length)
+    windows = windows.select(F.col("row_key").alias(key), F.col("parts").alias(f"{key}_parts"))
+    joined = docs.withColumn(key, F.monotonically_increasing_id()).join(windows.hint("shuffle_hash"), key, "left")
+
+    def cut(batches):
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            kept = []
+            at = names.index("text")
+            texts, parts = batch.column(at).to_pylist(), batch.column(len(names))
+            keep, changed = np.ones(len(texts), dtype=bool), {}
             for k, text in enumerate(texts):
-                runs = removed_runs(batch.column(3)[k].as_py(), length)
+                runs = removed_runs(parts[k].as_py(), length)
                 if text is None or not runs:
-                    kept.append(text)
                     continue
-                raw, parts, at = text.encode(), [], 0
+                raw, kept, end = text.encode("utf-8", "surrogatepass"), [], 0
                 for a, b in runs:
-                    parts.append(raw[at:a].decode(errors="ignore"))
-                    at = b
-                parts.append(raw[at:].decode(errors="ignore"))
-                kept.append("".join(parts))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kept, pa.string())], names=["row_key", "kept"])
-
-    return _with_parts(docs, length, id_col, text_col).mapInArrow(answer, "row_key long, kept string")
+                    kept.append(raw[end:a].decode(errors="ignore"))
+                    end = b
+                kept.append(raw[end:].decode(errors="ignore"))
+                changed[k] = "".join(kept)
+                keep[k] = bool(changed[k].strip())
+            batch = pa.RecordBatch.from_arrays(batch.columns[: len(names)], schema=pa.schema(list(batch.schema)[: len(names)]))
+            if changed:
+                batch = batch.set_column(at, batch.schema.field(at), pa.array([changed.get(k, t) for k, t in enumerate(texts)], batch.schema.field(at).type))
+                if "n_chars" in names:
+                    i = names.index("n_chars")
+                    sizes = [len(changed[k]) if k in changed else n for k, n in enumerate(batch.column(i).to_pylist())]
+                    batch = batch.set_column(i, batch.schema.field(i), pa.array(sizes, batch.schema.field(i).type))
+            yield batch.filter(pa.array(keep))
+
+    return joined.select(*[F.col(f"`{c}`") for c in names], f"{key}_parts").mapInArrow(cut, docs.schema)
