@@ -31,15 +31,27 @@ def plain_number(text: Column) -> Column:
     parts = "^(-?)([0-9]+)(?:\\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$"
     before, after = F.regexp_extract(text, parts, 2), F.regexp_extract(text, parts, 3)
     exponent = F.coalesce(F.nullif(F.regexp_extract(text, parts, 4), F.lit("")).cast("int"), F.lit(0))
-    digits, point = F.concat(before, after), F.length(before) + exponent
-    moved = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= F.length(digits), F.rpad(digits, point, "0"))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+    read = F.struct(
+        F.regexp_extract(text, parts, 1).alias("sign"), F.concat(before, after).alias("digits"), (F.length(before) + exponent).alias("point")
     )
-    short = F.when(moved.contains("."), F.regexp_replace(moved, "\\.?0+$", "")).otherwise(moved)
-    bare = F.regexp_replace(short, "^0+(?=[0-9])", "")
-    signed = F.when(bare == "0", bare).otherwise(F.concat(F.regexp_extract(text, parts, 1), bare))
+
+    def moved(r: Column) -> Column:
+        digits, point = r["digits"], r["point"]
+        return F.struct(
+            r["sign"].alias("sign"),
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= F.length(digits), F.rpad(digits, point, "0"))
+            .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+            .alias("number"),
+        )
+
+    def signed_text(r: Column) -> Column:
+        short = F.when(r["number"].contains("."), F.regexp_replace(r["number"], "\\.?0+$", "")).otherwise(r["number"])
+        bare = F.regexp_replace(short, "^0+(?=[0-9])", "")
+        return F.when(bare == "0", bare).otherwise(F.concat(r["sign"], bare))
+
+    # Arrays of one, so that each step is computed once and the generated code stays small.
+    signed = F.get(F.transform(F.transform(F.array(read), moved), signed_text), F.lit(0))
     # Most numbers are plain already: digits alone, or a fraction that does not end in 0.
     done = text.rlike("^-?(0|[1-9][0-9]*)(\\.[0-9]*[1-9])?$") & (text != "-0")
     return F.when(done | ~text.rlike(parts), text).otherwise(signed)
