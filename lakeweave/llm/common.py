@@ -10,16 +10,18 @@ from lakeweave.session import materialize
 __all__ = ["documents_of", "materialize", "keyed", "small_count"]
 
 
-def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only ``doc_id`` and ``text``, so that other columns of the input, whatever their names, cannot clash."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """Only ``doc_id`` and ``text``, so that other columns of the input, whatever their names, cannot clash; and ``key_col`` as ``row_key``, if it is named."""
+    key = [] if key_col is None else [F.col(f"`{key_col}`").alias("row_key")]
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *key)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds ``row_key``, unique for each row, so that null and repeated ids stay apart.
 
     The keys follow the place of a row in its input split, so the input has to be a set of files: a table, or a step that was written
-    (``materialize``). Anything that shuffles would number its rows anew each time it is read.
+    (``materialize``). Anything that shuffles would number its rows anew each time it is read. The splits follow the cores of the moment, so a
+    key holds for one job only: what hands keys from one job to the next writes the keyed rows and reads them from there.
     """
     return docs.withColumn("row_key", F.monotonically_increasing_id())
 

@@ -203,7 +203,28 @@ def _answers(tables: ByteTables | None, texts: list[str | None]) -> list[pa.Arra
     return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
 
+def with_language(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose column ``text`` is not answered with ``und``. The rows stay where they are, so they need no key."""
+    sent = docs.sparkSession.sparkContext.broadcast(None if net is None else net.tables())
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        tables = sent.value
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for a, b in slices(texts, 400_000):
+                names = _answers(tables, texts[a:b])[0].to_pylist()
+                yield batch.slice(a, b - a).filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNetwork | None:
+    """A network trained on the rows that may be learnt from; None without any."""
+    sample = training_sample(docs, id_col, text_col, lang_col)
+    return train([t for t, _ in sample], [x for _, x in sample])
+
+
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Trains on the rows that may be learnt from and predicts all rows."""
-    sample = training_sample(docs, id_col, text_col, lang_col)
-    return identify(docs, train([t for t, _ in sample], [x for _, x in sample]), id_col, text_col)
+    return identify(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col)

@@ -193,6 +193,30 @@ def test_stages_keep_clean_documents_and_catch_the_others(spark, pipeline_docs):
     assert {r.doc_id for r in packed} == set(last)
 
 
+def test_near_duplicates_when_the_splits_change_between_jobs(spark, tmp_path, monkeypatch):
+    """As if executors left and came back: every job finds the input in other splits than the job before."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(30)) for _ in range(20)]
+    spark.createDataFrame([(k, texts[k % 20]) for k in range(60)], "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/docs")
+    turn = iter(range(1000))
+
+    def resplit(df, label):
+        out = materialize(df, label)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1" if next(turn) % 2 else "64")
+        return out
+
+    monkeypatch.setattr(corpus_pipeline.jaccard_join, "materialize", resplit)
+    try:
+        kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        few = sorted((r.doc_id, r.text) for r in kept.collect())
+        spark.conf.set("spark.sql.files.minPartitionNum", "64")
+        many = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), "").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert few == many == list(enumerate(texts))
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

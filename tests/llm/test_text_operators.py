@@ -126,6 +126,25 @@ def test_jaccard_components(spark, corpus, width, percent):
     assert [r.component_id for r in sorted(rows, key=lambda r: r.doc_id)] == roots
 
 
+def test_jaccard_components_when_the_splits_change_between_jobs(spark, corpus, monkeypatch):
+    """As if executors left after the classes were named, and later jobs find the input in other splits."""
+    docs = frame(spark, corpus[:20] + corpus[60:])
+
+    def resplit(df, label):
+        out = materialize(df, label)
+        if label == "classes":
+            spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", resplit)
+    try:
+        rows = jaccard_join.jaccard_components(docs, 2, 60).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    sizes, roots = brute_components(corpus[:20] + corpus[60:], 2, 60)
+    assert [(r.n_shingles, r.component_id) for r in sorted(rows, key=lambda r: r.doc_id)] == list(zip(sizes, roots, strict=True))
+
+
 def test_jaccard_of_an_empty_table_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_components(empty).collect() == []
