@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import documents_of, keyed
+from lakeweave.llm.common import documents_of, keyed, materialize
 from lakeweave.llm.tokens import slices
 from lakeweave.llm.words import ALNUM, find_words, joined, pair_hash, word_hashes
 
@@ -245,16 +245,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = 1 + total // automaton_bytes
     own = keyed(documents_of(docs, id_col, text_col)).select("row_key", "doc_id", "text")
-    found = []
-    for part in range(parts):
-        rows = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
-        found.append(_detect(own, [tuple(r) for r in rows.distinct().collect()], window))
     if parts == 1:
-        return found[0]
-    whole = found[0]
-    for f in found[1:]:
-        whole = whole.unionByName(f)
-    return _merge(whole)
+        return _detect(own, _part(items, 0, 1), window)
+    return _merge(_detect_all(own, items, parts, window))
+
+
+def _part(items: DataFrame, part: int, parts: int) -> list[tuple[str, str | None]]:
+    """The items of one automaton of several."""
+    rows = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
+    return [tuple(r) for r in rows.distinct().collect()]
+
+
+def _detect_all(own: DataFrame, items: DataFrame, parts: int, window: int) -> DataFrame:
+    """One row per document and automaton."""
+    whole = _detect(own, _part(items, 0, parts), window)
+    for part in range(1, parts):
+        whole = whole.unionByName(_detect(own, _part(items, part, parts), window))
+    return whole
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -270,45 +277,61 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, item_col: str = "item_id") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, item_col: str = "item_id", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """The documents with their hit spans cut out; a document of which more than ``max_coverage`` of the words is hit goes.
 
     Keeps the columns of ``docs``, which has a column ``text``; a column ``n_chars``, if there is one, follows the new text. A cut leaves one space. Rows
-    without a hit stay as they are, null texts among them.
+    without a hit stay as they are, null texts among them. With several automata (``automaton_bytes``) the spans of all of them are found in the text
+    as it came and united; then each document is judged and cut once, as with one automaton.
     """
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = 1 + total // AUTOMATON_BYTES
-    out = docs
-    for part in range(parts):
-        rows = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
-        out = _cut(out, [tuple(r) for r in rows.distinct().collect()], window, max_coverage)
-    return out
-
-
-def _cut(docs: DataFrame, items: list[tuple[str, str | None]], window: int, max_coverage: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(Detector.of(items, window))
-    names = docs.columns
+    parts = 1 + total // automaton_bytes
+    if parts == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(Detector.of(_part(items, 0, 1), window))
+        return docs.mapInArrow(_cutter(docs.columns, max_coverage, sent), docs.schema)
+    key = "row_key"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    # The key goes through several scans, so it is written beside the texts.
+    held = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    # The answers name no document by its id here; a table needs none.
+    own = held.select(F.col(key).alias("row_key"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _merge(_detect_all(own, items, parts, window).where(F.size("spans") > 0))
+    found = found.select(F.col("row_key").alias(key), F.struct("n_words", "spans").alias(f"{key}_found"))
+    return held.join(found, key, "left").select(*[F.col(f"`{c}`") for c in docs.columns], f"{key}_found").mapInArrow(_cutter(docs.columns, max_coverage), docs.schema)
+
+
+def _cutter(names: list[str], max_coverage: float, sent=None):
+    """Judges and cuts batches of documents: by the detector that was sent, or by ``n_words`` and ``spans`` in the column behind the documents' own."""
+
+    def known(batch, texts):
+        if sent is None:
+            for k, found in enumerate(batch.column(len(names)).to_pylist()):
+                if found:
+                    yield k, found["n_words"], found["spans"]
+            return
+        for a, b in slices(texts, 1_000_000):
+            for k, (n_words, _, spans, _) in zip(range(a, b), sent.value.scan([t or "" for t in texts[a:b]]), strict=True):
+                if spans:
+                    yield k, n_words, spans
 
     def cut(batches):
-        own = sent.value
         for batch in batches:
             texts = batch.column(names.index("text")).to_pylist()
             keep = np.ones(len(texts), dtype=bool)
             changed: dict[int, str] = {}
-            for a, b in slices(texts, 1_000_000):
-                for k, (n_words, _, spans, _) in zip(range(a, b), own.scan([t or "" for t in texts[a:b]]), strict=True):
-                    if not spans:
-                        continue
-                    if sum(s["last"] - s["first"] + 1 for s in spans) > max_coverage * n_words:
-                        keep[k] = False
-                        continue
-                    raw, parts, at = texts[k].encode(), [], 0
-                    for s in spans:
-                        parts.append(raw[at : s["start"]].decode().rstrip())
-                        at = s["end"]
-                    parts.append(raw[at:].decode().lstrip())
-                    changed[k] = " ".join(p for p in parts if p)
+            for k, n_words, spans in known(batch, texts):
+                if sum(s["last"] - s["first"] + 1 for s in spans) > max_coverage * n_words:
+                    keep[k] = False
+                    continue
+                raw, parts, at = texts[k].encode(), [], 0
+                for s in spans:
+                    parts.append(raw[at : s["start"]].decode().rstrip())
+                    at = s["end"]
+                parts.append(raw[at:].decode().lstrip())
+                changed[k] = " ".join(p for p in parts if p)
+            batch = batch.select(range(len(names)))
             if changed:
                 texts = [changed.get(k, t) for k, t in enumerate(texts)]
                 batch = batch.set_column(names.index("text"), batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
@@ -318,4 +341,4 @@ def _cut(docs: DataFrame, items: list[tuple[str, str | None]], window: int, max_
                     batch = batch.set_column(i, batch.schema.field(i), pa.array([len(texts[k]) if k in changed else n for k, n in enumerate(old)], batch.schema.field(i).type))
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(cut, docs.schema)
+    return cut

@@ -201,6 +201,20 @@ def test_decontaminate_cuts_and_drops(spark):
     assert decontaminate.decontaminate(frame(spark, texts), empty).count() == 4
 
 
+def test_decontaminate_with_several_automata_equals_one(spark):
+    words = [f"w{k}" for k in range(24)]
+    items = [(1, " ".join(words[:15])), (2, " ".join(words[9:])), *[(3 + k, " ".join(f"p{k}x{i}" for i in range(12))) for k in range(6)]]
+    apart = " ".join(f"{items[2 + k][1]} {' '.join(f'c{k}x{i}' for i in range(5))}" for k in range(6))
+    texts = [f"{' '.join(f'a{k}' for k in range(30))} {' '.join(words)} {' '.join(f'b{k}' for k in range(30))}", apart, "clean", None]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, texts)
+    told = lambda found: {r.doc_id: (r.text, r.row_key, r["class"]) for r in found.collect()}
+    one = {0: texts[0].replace(f" {' '.join(words)}", ""), 2: "clean", 3: None}
+    rows = decontaminate.decontaminate(docs, bench, automaton_bytes=120)
+    assert rows.columns == docs.columns
+    assert told(rows) == {k: (t, "x", "y") for k, t in one.items()} == told(decontaminate.decontaminate(docs, bench, automaton_bytes=10**6))
+
+
 odd_text = st.text(alphabet=st.sampled_from("ab é\n .,'<|>sßΣ́ 　\x1c1_-\tñ"), max_size=40)
 
 
