@@ -18,11 +18,9 @@ from lakeweave.llm.common import documents_of, keyed
 from lakeweave.llm.tokens import slices
 
 UNKNOWN = "und"
-#: Bound of the training sample: so many texts of each language, and so many characters of each text.
+#: Bound of the training sample unless another is given: so many texts of each language, and so many characters of each text. Every label is learnt.
 TEXTS_PER_LANGUAGE = 600
 CHARS_PER_TEXT = 1024
-#: Bound of the number of languages, the most frequent ones.
-LANGUAGES = 64
 
 WINDOW = 256
 EMBEDDING = 8
@@ -139,7 +137,8 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, seed: int = 7) -
     rng = np.random.default_rng(seed)
     net = ByteNetwork.fresh(names, rng)
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    y = np.array([names.index(x) for x in labels])
+    number = {x: k for k, x in enumerate(names)}
+    y = np.array([number[x] for x in labels])
     held = [[np.zeros_like(p) for p in net.parameters()] for _ in range(2)]
     turn = 0
     for _ in range(epochs):
@@ -160,16 +159,15 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, seed: int = 7) -
     return net
 
 
-def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """Texts and languages to learn from: ``TEXTS_PER_LANGUAGE`` rows of each of the ``LANGUAGES`` most frequent languages, chosen by a hash of the id."""
+def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts_per_language: int = TEXTS_PER_LANGUAGE, chars_per_text: int = CHARS_PER_TEXT) -> list[tuple[str, str]]:
+    """Texts and languages to learn from: up to ``texts_per_language`` rows of each language that occurs, chosen by a hash of the id, and ``chars_per_text``
+    characters of each. The label ``und`` says that no language is known, so it is no language to learn."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.char_length(F.trim("text")) > 0) & ~held_out(F.col("doc_id")))
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    known = [r["lang"] for r in frequent.collect()]
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.greatest(F.char_length("text") - CHARS_PER_TEXT, F.lit(1))).cast("int") + 1
-    piece = F.substr("text", place, F.lit(CHARS_PER_TEXT))
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & (F.char_length(F.trim("text")) > 0) & ~held_out(F.col("doc_id")))
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.greatest(F.char_length("text") - chars_per_text, F.lit(1))).cast("int") + 1
+    piece = F.substr("text", place, F.lit(chars_per_text))
     order = W.partitionBy("lang").orderBy("key", "doc_id", "text")
-    chosen = rows.where(F.col("lang").isin(known)).select("lang", "doc_id", piece.alias("text"), F.xxhash64("doc_id").alias("key")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= TEXTS_PER_LANGUAGE)
+    chosen = rows.select("lang", "doc_id", piece.alias("text"), F.xxhash64("doc_id").alias("key")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= texts_per_language)
     return [(r["text"], r["lang"]) for r in chosen.orderBy("lang", "k").collect()]
 
 
@@ -219,12 +217,12 @@ def with_language(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
     return docs.mapInArrow(keep, docs.schema)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNetwork | None:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts_per_language: int = TEXTS_PER_LANGUAGE, chars_per_text: int = CHARS_PER_TEXT) -> ByteNetwork | None:
     """A network trained on the rows that may be learnt from; None without any."""
-    sample = training_sample(docs, id_col, text_col, lang_col)
+    sample = training_sample(docs, id_col, text_col, lang_col, texts_per_language, chars_per_text)
     return train([t for t, _ in sample], [x for _, x in sample])
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Trains on the rows that may be learnt from and predicts all rows."""
-    return identify(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col)
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts_per_language: int = TEXTS_PER_LANGUAGE, chars_per_text: int = CHARS_PER_TEXT) -> DataFrame:
+    """Trains on the rows that may be learnt from, with every label among them, and predicts all rows. The last two bound the sample of each label."""
+    return identify(docs, learn(docs, id_col, text_col, lang_col, texts_per_language, chars_per_text), id_col, text_col)

@@ -336,6 +336,14 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def test_every_label_is_learnt(spark):
+    rows = [(k, f"text {k % 70} " * 9, f"l{k % 70}") for k in range(700)] + [(1000, "a text", "und"), (1001, "a text", "und"), (1003, "a text", "und")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    sample = language.training_sample(docs, texts_per_language=3, chars_per_text=5)
+    assert {x for _, x in sample} == {f"l{k}" for k in range(70)}
+    assert max(Counter(x for _, x in sample).values()) == 3 and max(len(t) for t, _ in sample) == 5
+
+
 def test_tables_of_the_network_equal_its_filters():
     rng = np.random.default_rng(1)
     net = language.ByteNetwork.fresh(["a", "b", "c"], rng)
