@@ -185,9 +185,13 @@ def identify(docs: DataFrame, net: ByteNetwork | None, id_col: str = "doc_id", t
     return keyed(documents_of(docs, id_col, text_col)).select("row_key", "doc_id", "text").mapInArrow(predict, PREDICTED)
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def _answers(tables: ByteTables | None, texts: list[str | None]) -> list[pa.Array]:
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    asked = [k for k, t in enumerate(texts) if tables is not None and t and any(map(str.isalpha, t))]
+    asked = [k for k, t in enumerate(texts) if tables is not None and has_letter(t)]
     if asked:
         windows = [windows_of(texts[k].encode("utf-8", "surrogatepass")) for k in asked]
         sizes = np.array([len(w) for w in windows])
@@ -202,7 +206,8 @@ def _answers(tables: ByteTables | None, texts: list[str | None]) -> list[pa.Arra
 
 
 def with_language(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose column ``text`` is not answered with ``und``. The rows stay where they are, so they need no key."""
+    """The rows of ``docs``, with all their columns, whose column ``text`` is not answered with ``und``; without a network, those that have a letter, since
+    then nothing tells languages apart. The rows stay where they are, so they need no key."""
     sent = docs.sparkSession.sparkContext.broadcast(None if net is None else net.tables())
     at = docs.columns.index("text")
 
@@ -211,8 +216,8 @@ def with_language(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for a, b in slices(texts, 400_000):
-                names = _answers(tables, texts[a:b])[0].to_pylist()
-                yield batch.slice(a, b - a).filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+                good = [has_letter(t) for t in texts[a:b]] if tables is None else [n != UNKNOWN for n in _answers(tables, texts[a:b])[0].to_pylist()]
+                yield batch.slice(a, b - a).filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -223,6 +223,13 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+def test_pipeline_without_any_label(spark, tmp_path):
+    rows = [(1, "clean words of one document", None), (2, "und noch ein anderes", None), (3, "12 - !", None), (4, None, None), (5, "", None)]
+    spark.createDataFrame([(*r, "s", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 2}
+
+
 def test_language_holds_out_by_the_id(spark):
     rows = [r.doc_id for r in spark.range(200).withColumnRenamed("id", "doc_id").where(language.held_out(F.col("doc_id"))).collect()]
     assert rows == [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 == 2]
