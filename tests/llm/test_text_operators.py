@@ -152,6 +152,12 @@ def test_jaccard_of_an_empty_table_and_null_ids(spark):
     assert sorted((r.n_shingles, str(r.component_id)) for r in rows) == [(0, "None"), (2, "5"), (2, "5")]
 
 
+def test_linked_sets_share_what_the_second_order_asks_for():
+    n = np.arange(1, 3000)
+    for percent in range(1, 101):
+        assert (jaccard_join.shared_least(n, percent) <= jaccard_join.needed_overlap(n, n, percent)).all()
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 200), (200, 150), (7, 7)], "a long, b long")
     got = {r["class"]: r.root for r in jaccard_join.components(edges).collect()}
