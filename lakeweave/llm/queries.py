@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import attribution, chat, dac, decontaminate, jaccard_join, language, neighbours, packing, sharding, suffix_array
+from lakeweave.llm import attribution, chat, dac, decontaminate, jaccard_join, language, neighbours, packing, runs, sharding, suffix_array, whitening
 from lakeweave.llm.queries_sql import OP3_SQL, OP10_SQL
 from lakeweave.session import scratch_path
 
@@ -78,6 +78,32 @@ def op10_chat_formatting(spark: SparkSession, directory: str) -> DataFrame:
     return chat.digests(chat.read_back(rendered))
 
 
+def op11_embedding_whitening(spark: SparkSession, directory: str) -> DataFrame:
+    """All embeddings as whole numbers, projected on the first four components of their covariance, with unit variance."""
+    return whitening.whiten(_table(spark, directory, "embeddings"), most=4, scale=256)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: a tenth of the documents, chosen by a checksum of the id, repeat a stretch of their own words up to their end."""
+    checksum = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    split = docs.select("doc_id", "text", (checksum % 10 == 0).alias("chosen"), F.floor(checksum / 10).alias("g")).withColumn(
+        "words", F.when(F.col("chosen"), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    )
+    sized = split.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    placed = sized.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    written = F.expr("concat(slice(words, 1, a), flatten(array_repeat(slice(words, a + 1, p), cast((n - a) div p as int))), slice(words, a + 1, (n - a) % p))")
+    return placed.select("doc_id", F.when(F.col("chosen") & (F.col("n") > 0), F.array_join(written, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def digest_of_runs(docs: DataFrame) -> DataFrame:
+    return runs.digest(runs.periodic_runs(with_planted_runs(docs), least_words=6, least_periods=4))
+
+
+def op12_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
+    """Stretches of each document that repeat four times or more, and what is left with one period of each."""
+    return digest_of_runs(_table(spark, directory, "documents"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -89,6 +115,8 @@ QUERIES = {
     "op8_token_codes": op8_token_codes,
     "op9_section_tokens": op9_section_tokens,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 SQL: dict[str, str] = {
