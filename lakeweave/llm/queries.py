@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import attribution, chat, dac, decontaminate, jaccard_join, language, neighbours, packing, runs, sharding, suffix_array, whitening
+from lakeweave.llm import attribution, chat, dac, decontaminate, jaccard_join, language, neighbours, packing, personal_data, runs, sharding, suffix_array, whitening
 from lakeweave.llm.queries_sql import OP3_SQL, OP10_SQL
 from lakeweave.session import scratch_path
 
@@ -104,6 +104,11 @@ def op12_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
     return digest_of_runs(_table(spark, directory, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, directory: str) -> DataFrame:
+    """Places of emails, network addresses, card and phone numbers in every document, plain and disguised."""
+    return personal_data.digest(personal_data.find_personal_data(_table(spark, directory, "documents")))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -117,6 +122,7 @@ QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_personal_data": op13_personal_data,
 }
 
 SQL: dict[str, str] = {

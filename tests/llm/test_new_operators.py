@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lakeweave.llm import queries, runs, whitening
+from lakeweave.llm import personal_data, queries, runs, whitening
 from lakeweave.llm.common import materialize
 
 
@@ -163,3 +163,121 @@ def test_run_query_on_the_whole_table(spark):
 def test_runs_with_null_and_repeated_ids(spark):
     rows = spark.createDataFrame([(None, "a a a a a a"), (1, "b b b b b b"), (1, "b b b b b b")], "doc_id long, text string")
     assert sorted((str(r.doc_id), [tuple(x) for x in r.runs], r.collapsed) for r in runs.periodic_runs(rows).collect()) == [("1", [(0, 6, 1)], "b")] * 2 + [("None", [(0, 6, 1)], "a")]
+
+
+def plain_identifiers(text):
+    """The patterns as they are written down."""
+
+    def check_digit(d):
+        return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    def digits(m):
+        return re.sub("[^0-9]", "", m.group())
+
+    tests = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.group().split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and check_digit(digits(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    }
+    return {kind: [m.span() for m in re.finditer(pattern, text) if good(m)] for kind, (pattern, good) in tests.items()}
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.one_of(st.text("1.2@a-", max_size=40), st.text("0123456789 -+().", max_size=60), st.lists(st.sampled_from(["1.2.3.4", "@", "a.b", "x@y.z", "255", ".", "256.", "4111 1111-1111 1111", " ", "+", "+49 (30) 1234-567", "00", "é", "4", "-", "%"]), max_size=14).map("".join)))
+def test_plain_identifiers(text):
+    assert personal_data.identifiers(text) == plain_identifiers(text)
+
+
+DISGUISED = [
+    ("email", "john.doe [at] example [dot] com"),
+    ("email", "john dot doe at mail dot example dot org"),
+    ("email", "John_AT_example_DOT_com"),
+    ("email", "jane(at)example.com"),
+    ("email", "jane @ example.com"),
+    ("email", "jane&#64;example&#46;com"),
+    ("email", "jane%40example.com"),
+    ("email", "jаne@exаmplе.com"),
+    ("email", "jane＠example．com"),
+    ("email", "ja​ne@exam­ple.com"),
+    ("ip", "192[.]168[.]1[.]77"),
+    ("ip", "192 dot 168 dot 1 dot 77"),
+    ("ip", "１０.0.0.١٢"),
+    ("ip", "one nine two dot one six eight dot 1 dot one two"),
+    ("card", "four one one one 1111 1111 1111 1111".replace("1111 ", "", 1)),
+    ("card", "four, one, one, one, one, one, one, one, one, one, one, one, one, one, one, one"),
+    ("card", "4lll-llII-1111-1111"),
+    ("card", "４111 1111‑1111 1111"),
+    ("phone", "plus four nine three oh one two three four five six"),
+    ("phone", "plus 49 30 1234567"),
+    ("phone", "+49 (3O) l234 567"),
+    ("phone", "＋49 30 123‍4567"),
+    ("phone", "plus quatre neuf trois zéro un deux trois quatre cinq"),
+]
+
+
+@pytest.mark.parametrize(("kind", "text"), DISGUISED)
+def test_disguised_identifiers(kind, text):
+    for before, behind in (("", ""), ("é\U0001f600 ​ see: ", ", а and more"), ("x@y.example is [at] home. ", " / 10.0.0.1 or +1 202 555 0147\n")):
+        whole = f"{before}{text}{behind}"
+        base, extra = personal_data.find(whole)
+        assert base == plain_identifiers(whole)
+        assert (len(before), len(before) + len(text)) in extra[kind]
+        assert sum(map(len, extra.values())) == 1
+
+
+CLEAN = [
+    "meet me at noon. the dot is (at) the end [at] 5.99 and look at example.com",
+    "null, null, null, null, null, null, null, null, null, null, null, null, null, null",
+    "one two three go. O I l O I l O I l 1 and o.o.o.o",
+    "f(at) {dot} @ home %40 &#64;",
+    "привет, как дела? 3² + 4² = 5²",
+]
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_clean_texts_have_no_disguise(text):
+    assert personal_data.find(text) == ({k: [] for k in personal_data.KINDS},) * 2
+
+
+def test_part_of_an_email_disguised():
+    text = "write to a.b@mail.example [dot] com now"
+    base, extra = personal_data.find(text)
+    assert base["email"] == [(9, 25)] and extra["email"] == [(9, 35)]
+    assert personal_data.masked(text, [("email", 9, 25), ("email", 9, 35), ("phone", 20, 30)]) == "write to [EMAIL] now"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abа​1 .@[]dotaone(", max_size=60))
+def test_spans_lie_in_the_text(text):
+    base, extra = personal_data.find(text)
+    assert base == plain_identifiers(text)
+    assert all(0 <= a < b <= len(text) for spans in extra.values() for a, b in spans)
+
+
+def test_personal_data_of_odd_tables(spark):
+    texts = [None, "", "a@b.cd", "\U0001f600 a@b.cd +49 30 1234567 1.2.3.4 x [at] y [dot] org", "1" * 200_000, "a" * 300_000 + "@", "." * 100_000, "+1" + " " * 100_000, "o" * 100_000 + " one" * 50_000]
+    rows = materialize(spark.createDataFrame([(k, t, "a", 1) for k, t in enumerate(texts)], "doc_id long, text string, base string, kind long"), "test")
+    got = {r.doc_id: r for r in queries.personal_data.digest(personal_data.find_personal_data(rows)).collect()}
+    none = hashlib.sha256(b"").hexdigest()
+    assert tuple(got[0]) == (0, 0, 0, 0, 0, none, "") and tuple(got[1])[1:] == tuple(got[0])[1:]
+    assert got[3].spans == "email:2:8,email:32:50,ip:24:31,phone:9:31"
+    assert (got[3].n_email, got[3].n_ip, got[3].n_card, got[3].n_phone) == (1, 1, 0, 1)
+    for k, t in enumerate(texts[:5]):
+        told = ",".join(f"{kind}:{a}:{b}" for kind, spans in plain_identifiers(t or "").items() for a, b in spans) if k != 4 else ""
+        assert got[k].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+    twice = spark.createDataFrame([(None, "a@b.cd"), (None, "a@b.cd"), (None, None)], "doc_id long, text string")
+    assert sorted(str(r.masked) for r in personal_data.find_personal_data(twice, with_text=True).collect()) == ["None", "[EMAIL]", "[EMAIL]"]
+    assert personal_data.find_personal_data(rows.limit(0)).collect() == []
+
+
+def test_personal_data_query_on_the_whole_table(spark):
+    rows = spark.read.parquet(f"{DIRECTORY}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in queries.QUERIES["op13_personal_data"](spark, DIRECTORY).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        own = plain_identifiers(r.text or "")
+        told = ",".join(f"{kind}:{a}:{b}" for kind, spans in own.items() for a, b in spans)
+        assert [got[r.doc_id][f"n_{k}"] for k in personal_data.KINDS] == [len(own[k]) for k in personal_data.KINDS]
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert set(told.split(",")) <= set(got[r.doc_id].spans.split(","))
