@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeweave.llm.common import documents_of
-from lakeweave.llm.tokens import encoder, slices, tokenizer_path
+from lakeweave.llm.tokens import encoder, slices_of, tokenizer_path
 
 # Fixed values of the format.
 MAGIC = b"DAC1"
@@ -114,7 +114,8 @@ class Segment:
 def write_codes(docs: DataFrame, target: str, path: str | None = None, end_id: int = 2, keeps_space: bool = False, bits: int = 8, segment_ids: int = SEGMENT_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes whole texts and writes the segments to the folder ``target``.
 
-    A null or empty text has the end id alone. Null ids come first; rows of equal id are ordered by their text.
+    A null or empty text has the end id alone. Null ids come first; rows of equal id are ordered by a hash of their text, which also deals
+    them to several tasks where one id, or none, has many rows.
     """
     path = path or tokenizer_path("word_bpe_49k.json")
 
@@ -124,25 +125,24 @@ def write_codes(docs: DataFrame, target: str, path: str | None = None, end_id: i
 
         def close():
             nonlocal held, names, seq, before
-            ids = np.concatenate(held)
-            data = encode_segment(ids, np.array([len(x) for x in held]), names, bits)
+            ids = np.concatenate([x for x, _ in held])
+            data = encode_segment(ids, np.concatenate([n for _, n in held]), names, bits)
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "segment": pa.array([data], pa.binary())})
             held, names, seq, before = [], [], seq + 1, before + len(ids)
             return row
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                for doc_id, ids in zip(doc_ids[a:b], own.ids([t or "" for t in texts[a:b]]), strict=True):
-                    held.append(np.append(ids, np.uint32(end_id)))
-                    names.append(doc_id)
-                if sum(map(len, held)) >= segment_ids:
+            for a, b in slices_of(batch.column(1)):
+                ids, lengths = own.flat_ids(batch.column(1).slice(a, b - a))
+                held.append((np.insert(ids, np.cumsum(lengths), np.uint32(end_id)), lengths + 1))
+                names += batch.column(0).slice(a, b - a).to_pylist()
+                if sum(len(x) for x, _ in held) >= segment_ids:
                     yield close()
         if held:
             yield close()
 
-    rows = documents_of(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(segments, SEGMENTS).write.parquet(target)
+    rows = documents_of(docs, id_col, text_col).withColumn("dealt", F.xxhash64("text")).repartitionByRange("doc_id", "dealt").sortWithinPartitions("doc_id", "dealt", "text")
+    rows.select("doc_id", "text").mapInArrow(segments, SEGMENTS).write.parquet(target)
 
 
 def read_codes(spark: SparkSession, target: str) -> DataFrame:

@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lakeweave.llm import attribution, dac, decontaminate, jaccard_join, language, packing, suffix_array, words
+from lakeweave.llm import attribution, dac, decontaminate, jaccard_join, language, packing, suffix_array, tokens, words
 from lakeweave.llm.common import materialize
 from lakeweave.llm.tokens import WordEncoder, tokenizer_path
 
@@ -240,6 +241,32 @@ def test_word_encoder_equals_the_tokenizer(name, keeps):
     check()
 
 
+@pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_word_encoder_with_every_letter(name, keeps):
+    """Each character of the basic plane in front of and behind punctuation, line breaks, digits and marks."""
+    own = WordEncoder(tokenizer_path(name), keeps)
+    chars = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    for behind in (",", ".\n", "\nb,", "7", "\u0301!", "'s"):
+        texts = [f"x{c}{behind} {behind}{c} a{c}" for c in chars]
+        want = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        got = [ids.tolist() for ids in own.ids(texts)]
+        assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+@pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_word_encoder_of_slices_and_of_a_full_dictionary(name, keeps, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    own = WordEncoder(tokenizer_path(name), keeps)
+    texts = [None, "", "TAKSİ, BELKİ! yarın", "a b. c", " a", "x" * 5000 + " y" * 5000, "", "क़, ड़!"]
+    column = pa.chunked_array([pa.array(texts)]).combine_chunks().slice(1, 7)
+    for _ in range(2):
+        ids, lengths = own.flat_ids(column)
+        want = [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+    assert [own.flat_ids(pa.array([], pa.string()))[k].tolist() for k in (0, 1)] == [[], []]
+    assert list(tokens.slices_of(pa.array(["ab", None, "c", "", "defghij", "k"]), 3)) == [(0, 3), (3, 5), (5, 6)]
+
+
 def test_packing(spark, corpus):
     capacity = 256
     rows = packing.pack_documents(frame(spark, corpus), capacity=capacity).collect()
@@ -292,7 +319,7 @@ def test_codes_of_documents(spark, corpus, tmp_path):
     encoder = WordEncoder(tokenizer_path("word_bpe_49k.json"), False)
     at, want = 0, {}
     for k, text in enumerate(corpus):
-        ids = np.append(encoder.ids([text or ""])[0], np.uint32(2)).astype("<u4")
+        ids = np.array([*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
         want[k] = (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rows} == want
