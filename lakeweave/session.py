@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -23,6 +24,9 @@ def local_session(cores: int | str = 8, app: str = "lakeweave", memory: str = "1
     )
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -35,9 +39,11 @@ def scratch_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    path = tempfile.mkdtemp(prefix="lakeweave-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    # Spark refuses to change the setting in a running session, so the folder is kept here, one for each application.
+    application = spark.sparkContext.applicationId
+    if application not in _own_dirs:
+        _own_dirs[application] = tempfile.mkdtemp(prefix="lakeweave-")
+    return _own_dirs[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -54,3 +60,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def give_back_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that nothing refers to any more.
+
+    Spark's cleaner does so once the driver's collector has found a plan unused, and on a driver with room that may take hours. Between the stages of
+    a long job, whose results are written, it is asked for. Plans still in use keep their files.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
