@@ -167,7 +167,13 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.greatest(F.char_length("text") - chars_per_text, F.lit(1))).cast("int") + 1
     piece = F.substr("text", place, F.lit(chars_per_text))
     order = W.partitionBy("lang").orderBy("key", "doc_id", "text")
-    chosen = rows.select("lang", "doc_id", piece.alias("text"), F.xxhash64("doc_id").alias("key")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= texts_per_language)
+    keys = rows.withColumn("key", F.xxhash64("doc_id"))
+    # Of a frequent language only rows with small keys are ranked, about four times as many as are wanted, so that no task gets all of them. One row a
+    # label is broadcast; the driver holds many more of each.
+    share = F.least(F.lit(1.0), F.lit(4.0 * texts_per_language) / F.count("*"))
+    limits = rows.groupBy("lang").agg((F.lit(-(2.0**63)) + F.lit(2.0**64) * share).alias("limit"))
+    keys = keys.join(F.broadcast(limits), "lang").where(F.col("key") <= F.col("limit"))
+    chosen = keys.select("lang", "doc_id", piece.alias("text"), "key").withColumn("k", F.row_number().over(order)).where(F.col("k") <= texts_per_language)
     return [(r["text"], r["lang"]) for r in chosen.orderBy("lang", "k").collect()]
 
 
@@ -205,9 +211,13 @@ def _answers(tables: ByteTables | None, texts: list[str | None]) -> list[pa.Arra
     return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
 
-def with_language(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose column ``text`` is not answered with ``und``; without a network, those that have a letter, since
-    then nothing tells languages apart. The rows stay where they are, so they need no key."""
+def with_language(docs: DataFrame, net: ByteNetwork | None, least_score: float = 0.0, short: int = 0) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose column ``text`` has a language.
+
+    A text answered with ``und`` has none, and neither has one of ``short`` characters or more whose best language scores less than ``least_score``; shorter texts say
+    too little to be judged by their score. Without a network, all texts with a letter stay, since then nothing tells languages apart. The rows stay
+    where they are, so they need no key.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(None if net is None else net.tables())
     at = docs.columns.index("text")
 
@@ -216,7 +226,12 @@ def with_language(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for a, b in slices(texts, 400_000):
-                good = [has_letter(t) for t in texts[a:b]] if tables is None else [n != UNKNOWN for n in _answers(tables, texts[a:b])[0].to_pylist()]
+                own = texts[a:b]
+                if tables is None:
+                    good = [has_letter(t) for t in own]
+                else:
+                    names, scores = (x.to_pylist() for x in _answers(tables, own))
+                    good = [n != UNKNOWN and (len(t) < short or p >= least_score) for n, p, t in zip(names, scores, own, strict=True)]
                 yield batch.slice(a, b - a).filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

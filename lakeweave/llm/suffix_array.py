@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import documents_of, keyed
+from lakeweave.llm.common import documents_of, keyed, materialize
 from lakeweave.llm.tokens import slices
 from lakeweave.llm.words import BASE, BYTE_VALUE, mixed, pair_hash
 
@@ -234,7 +234,7 @@ def _second_pass(length: int, buckets: int):
     def send(batches):
         parcel = Parcel(buckets, single=True)
         for batch in batches:
-            keys, texts, entries = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            keys, texts, entries = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for k, text in enumerate(texts):
                 entry = entries[k].values.to_numpy(zero_copy_only=False)
                 place, size, verdict = entry >> 20, (entry >> 4) & 0xFFFF, entry & 15
@@ -311,21 +311,24 @@ def _by_text(batches):
             yield pa.RecordBatch.from_arrays([pa.array(rows[first, 0]), pa.array(data, pa.binary())], names=["row_key", "parts"])
 
 
-def repeated_windows(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The keyed texts, and for each text with repeats the list of its repeated windows (``row_key``, ``parts``: start and number in 32 bits each)."""
+def repeated_windows(texts: DataFrame, key: str, length: int = 200, text_col: str = "text") -> DataFrame:
+    """For each text with repeats the list of its repeated windows (``row_key``, ``parts``: start and number in 32 bits each).
+
+    ``texts`` has a written, unique ``key``. All its columns go along to the second pass, so that the texts are shuffled in the same way, and so once, for
+    this join and the one with the answers.
+    """
     if not 16 <= length <= 4096:
         raise ValueError("length must lie between 16 and 4096")
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = keyed(documents_of(docs, id_col, text_col))
-    anchors = texts.select("row_key", "text").mapInArrow(_first_pass(length, buckets), PACKED).repartition("bucket")
-    verdicts = anchors.mapInArrow(_sort_anchors, "row_key long, entry long").groupBy("row_key").agg(F.collect_list("entry").alias("entries"))
-    # doc_id is not needed here, but with it the texts are shuffled in the same way, and so once, for this join and the last one.
-    asked = texts.join(verdicts.hint("shuffle_hash"), "row_key").select("row_key", "doc_id", "text", "entries")
-    windows = asked.mapInArrow(_second_pass(length, buckets), PACKED).repartition("bucket")
+    anchors = texts.select(key, text_col).mapInArrow(_first_pass(length, buckets), PACKED).repartition("bucket")
+    verdicts = anchors.mapInArrow(_sort_anchors, "row_key long, entry long").groupBy("row_key").agg(F.collect_list("entry").alias(f"{key}_entries"))
+    asked = texts.join(verdicts.withColumnRenamed("row_key", key).hint("shuffle_hash"), key)
+    rest = [F.col(f"`{c}`") for c in texts.columns if c not in (key, text_col)]
+    windows = asked.select(key, text_col, f"{key}_entries", *rest).mapInArrow(_second_pass(length, buckets), PACKED).repartition("bucket")
     lots = windows.mapInArrow(_sort_windows, "lot long, n int, windows binary").groupBy("lot")
     held = lots.agg(F.collect_list(F.struct("n", "windows")).alias("all")).select("lot", F.col("all.n").alias("n"), F.col("all.windows").alias("windows"))
-    return texts, held.mapInArrow(_by_text, "row_key long, parts binary")
+    return held.mapInArrow(_by_text, "row_key long, parts binary")
 
 
 def removed_runs(parts: bytes | None, length: int) -> list[tuple[int, int]]:
@@ -340,8 +343,15 @@ def removed_runs(parts: bytes | None, length: int) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), end[last].tolist(), strict=True))
 
 
+def _written(texts: DataFrame, key: str) -> DataFrame:
+    # No key is null; said here, it holds for both joins, and one exchange of the texts serves both.
+    return materialize(texts, "keyed").where(F.col(key).isNotNull())
+
+
 def _with_parts(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    texts, windows = repeated_windows(docs, length, id_col, text_col)
+    # The key is used by two scans, so it is written: splits of the input may change between them.
+    texts = _written(keyed(documents_of(docs, id_col, text_col)), "row_key")
+    windows = repeated_windows(texts, "row_key", length)
     return texts.join(windows.hint("shuffle_hash"), "row_key", "left").select("row_key", "doc_id", "text", "parts")
 
 
@@ -382,9 +392,9 @@ def cut_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     key = "row_key"
     while key in {c.lower() for c in names}:
         key += "_"
-    _, windows = repeated_windows(docs, length)
-    windows = windows.select(F.col("row_key").alias(key), F.col("parts").alias(f"{key}_parts"))
-    joined = docs.withColumn(key, F.monotonically_increasing_id()).join(windows.hint("shuffle_hash"), key, "left")
+    texts = _written(docs.withColumn(key, F.monotonically_increasing_id()), key)
+    windows = repeated_windows(texts, key, length).select(F.col("row_key").alias(key), F.col("parts").alias(f"{key}_parts"))
+    joined = texts.join(windows.hint("shuffle_hash"), key, "left")
 
     def cut(batches):
         for batch in batches:

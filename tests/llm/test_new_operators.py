@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from lakeweave.llm import personal_data, queries, runs, whitening
+from lakeweave.llm import language, personal_data, queries, runs, whitening
 from lakeweave.llm.common import materialize
 
 
@@ -281,3 +282,24 @@ def test_personal_data_query_on_the_whole_table(spark):
         assert [got[r.doc_id][f"n_{k}"] for k in personal_data.KINDS] == [len(own[k]) for k in personal_data.KINDS]
         assert got[r.doc_id].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
         assert set(told.split(",")) <= set(got[r.doc_id].spans.split(","))
+
+
+def test_documents_without_a_likely_language_go(spark):
+    rng = random.Random(12)
+    text = lambda letters, n: " ".join("".join(rng.choices(letters, k=5)) for _ in range(n))
+    rows = [(k, text("abcdefgh", 60), "x") if k % 2 else (k, text("qrstuvwxyz", 60), "y") for k in range(200)]
+    rows += [(1000, text("abcdefgh", 200) + text("qrstuvwxyz", 200), None), (1001, text("abcdefgh", 2) + text("qrstuvwxyz", 2), None), (1002, "1 2 3 " * 50, None), (1003, None, None)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "test")
+    net = language.learn(docs)
+    kept = {r.doc_id for r in language.with_language(docs, net, 0.9, 100).collect()}
+    assert kept == set(range(200)) | {1001}
+    assert {r.doc_id for r in language.with_language(docs, net).collect()} == set(range(200)) | {1000, 1001}
+
+
+def test_training_sample_of_a_frequent_language_is_ranked_from_few_rows(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.when(F.col("id") < 50, "rare").otherwise("often").alias("lang"))
+    got = language.training_sample(docs, texts_per_language=100)
+    keys = sorted((r.key, r.doc_id) for r in docs.where((F.col("lang") == "often") & ~language.held_out(F.col("doc_id"))).select(F.xxhash64("doc_id").alias("key"), "doc_id").collect())
+    assert [t for t, name in got if name == "often"] == [f"text {k}" for _, k in keys[:100]]
+    rare = docs.where((F.col("lang") == "rare") & ~language.held_out(F.col("doc_id"))).count()
+    assert sum(name == "rare" for _, name in got) == rare
