@@ -59,7 +59,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_at = path
+    return written
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete the files of results of ``materialize`` that nothing will read again. Other frames are left alone."""
+    for step in steps:
+        path = getattr(step, "_written_at", None)
+        if path:
+            spark = step.sparkSession
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def give_back_shuffles(spark: SparkSession) -> None:
