@@ -94,17 +94,18 @@ def with_label(df: DataFrame, labels: DataFrame, column: str, name: str) -> Data
 
 
 def top_hubs(nodes: DataFrame, labels: DataFrame, n: int = 15) -> DataFrame:
-    return with_label(top(nodes, "num_partners", n, "dataset"), labels, "dataset", "label")
+    """Datasets with the most partners, labelled, in this order: a join keeps none, so the few rows are sorted behind it."""
+    best = top(nodes, "num_partners", n, "dataset")
+    return with_label(best, labels, "dataset", "label").orderBy(F.desc("num_partners"), "dataset")
 
 
 def top_pairs(pairs: DataFrame, labels: DataFrame, n: int = 15) -> DataFrame:
-    """Dataset pairs with the most joinable columns, labelled."""
-    best = top(
-        dataset_pair_counts(pairs), "num_column_pairs", n, "left_dataset", "right_dataset"
-    )
+    """Dataset pairs with the most joinable columns, labelled, in this order."""
+    order = ["num_column_pairs", "left_dataset", "right_dataset"]
+    best = top(dataset_pair_counts(pairs), order[0], n, *order[1:])
     labelled = with_label(best, labels, "left_dataset", "left_label")
     labelled = with_label(labelled, labels, "right_dataset", "right_label")
-    return labelled.withColumn("pair", F.concat_ws(" ↔ ", "left_label", "right_label"))
+    return labelled.withColumn("pair", F.concat_ws(" ↔ ", "left_label", "right_label")).orderBy(F.desc(order[0]), *order[1:])
 
 
 def strong_edges(matches: DataFrame, min_score: float = STRONG_SCORE) -> DataFrame:

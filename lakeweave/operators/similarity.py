@@ -51,6 +51,11 @@ def falsy_to_empty(value: Column, json_type: Column) -> Column:
     return F.when(F.coalesce(zero, F.lit(False)), "").otherwise(value)
 
 
+def telling_cells(cells: DataFrame) -> DataFrame:
+    """Cells with a ``json_type`` in which 0 and false are empty text, so that the column's text leaves them out. They keep their place among the first values."""
+    return cells.withColumn("value", falsy_to_empty(F.col("value"), F.col("json_type")))
+
+
 def column_texts(samples: DataFrame) -> DataFrame:
     """``(dataset_id, column_name, text)`` to embed."""
     name = F.concat_ws(".", "dataset_id", "column_name")

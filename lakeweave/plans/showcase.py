@@ -265,21 +265,23 @@ def column_samples(spark, d):
     return samples.select(*sketch.COLUMN_KEY, F.array_join("samples", "|").alias("samples"))
 
 
+def sampled_texts(spark, d) -> DataFrame:
+    return similarity.column_texts(similarity.first_values(similarity.telling_cells(ordered_cells(spark, d, 50)), 50))
+
+
 @query
 def column_text(spark, d):
-    return similarity.column_texts(similarity.first_values(ordered_cells(spark, d, 50), 50))
+    return sampled_texts(spark, d)
 
 
 @query
 def column_embedding(spark, d):
-    return similarity.embed_columns(
-        similarity.column_texts(similarity.first_values(ordered_cells(spark, d, 50), 50))
-    )
+    return similarity.embed_columns(sampled_texts(spark, d))
 
 
 @query
 def alike_by_embedding(spark, d):
-    return alike_columns(ordered_cells(spark, d, 50), 50, 0.5).withColumn("score", F.round("score", 9))
+    return alike_columns(similarity.telling_cells(ordered_cells(spark, d, 50)), 50, 0.5).withColumn("score", F.round("score", 9))
 
 
 # --- catalog ------------------------------------------------------------------------------------------

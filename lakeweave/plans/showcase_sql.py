@@ -216,7 +216,7 @@ def _ordered_cells() -> str:
     }
     return " UNION ALL ".join(
         f"SELECT '{t}' AS dataset_id, '{c}' AS column_name, row_number() OVER (ORDER BY {key}) AS row_id, "
-        f"{_text_of(c, k)} AS value FROM {t}"
+        f"{_text_of(c, k)} AS value, {'false' if k == 's' else f'coalesce({c} = 0, false)'} AS falsy FROM {t}"
         for t, key in keys.items()
         for c, k in (entry.split(":") for entry in TEST_TABLES[t].split())
     )
@@ -231,7 +231,7 @@ FROM ranked WHERE rn <= 25 GROUP BY ALL"""
 SQL["column_text"] = f"""{_SAMPLED}
 SELECT dataset_id, column_name,
        'Column: ' || dataset_id || '.' || column_name || '. Sample values: '
-         || coalesce(string_agg(value, ', ' ORDER BY rn) FILTER (value <> ''), '') AS text
+         || coalesce(string_agg(value, ', ' ORDER BY rn) FILTER (value <> '' AND NOT falsy), '') AS text
 FROM ranked WHERE rn <= 50 GROUP BY dataset_id, column_name"""
 
 # --- catalog ------------------------------------------------------------------------------------------

@@ -46,7 +46,7 @@ def cells_from_tables(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def first_cells(df: DataFrame, dataset_id: str, order: list[str], n: int) -> DataFrame:
-    """Cells of the first ``n`` rows in the order of ``order``, with ``row_id`` from 0.
+    """Cells of the first ``n`` rows in the order of ``order``, with ``row_id`` from 0 and the ``json_type`` of their column (``STRING`` or ``NUMBER``).
 
     The rows are limited before the table is taken apart. Where ``order`` does not tell rows apart, the kept columns do; rows that agree in
     those as well give the same cells.
@@ -57,8 +57,15 @@ def first_cells(df: DataFrame, dataset_id: str, order: list[str], n: int) -> Dat
     numbered = first.withColumn("row id", F.row_number().over(Window.orderBy(*keys)) - 1)
     texts = [scalar_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in kept_columns(df)]
     names = [f"`{f.name}`" for f in kept_columns(df)]
+    numbers = [f.name for f in kept_columns(df) if isinstance(f.dataType, T.NumericType)]
     return (
         numbered.select("row id", *texts)
         .unpivot(["row id"], names, "column_name", "value")
-        .select(F.lit(dataset_id).alias("dataset_id"), F.col("row id").alias("row_id"), "column_name", "value")
+        .select(
+            F.lit(dataset_id).alias("dataset_id"),
+            F.col("row id").alias("row_id"),
+            "column_name",
+            "value",
+            F.when(F.col("column_name").isin(numbers), "NUMBER").otherwise("STRING").alias("json_type"),
+        )
     )
