@@ -57,13 +57,21 @@ def plain_number(text: Column) -> Column:
     return F.when(done | ~text.rlike(parts), text).otherwise(signed)
 
 
+def written_fraction(data_type: T.DataType) -> bool:
+    """Whether numbers of a type may be written in several ways."""
+    return isinstance(data_type, (T.DoubleType, T.FloatType, T.DecimalType))
+
+
+def raw_text(column: Column, data_type: T.DataType) -> Column:
+    """Text of a scalar as Spark writes it; NaN is missing."""
+    text = column.cast("string")
+    return F.when(~F.isnan(column), text) if isinstance(data_type, (T.DoubleType, T.FloatType)) else text
+
+
 def scalar_text(column: Column, data_type: T.DataType) -> Column:
     """Text form of a scalar; equal numbers print alike whatever their type, NaN is missing."""
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(column), plain_number(column.cast("string")))
-    if isinstance(data_type, T.DecimalType):
-        return plain_number(column.cast("string"))
-    return column.cast("string")
+    text = raw_text(column, data_type)
+    return plain_number(text) if written_fraction(data_type) else text
 
 
 def safe_alias(field: Column) -> Column:

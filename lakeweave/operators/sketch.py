@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.functions import hashing
-from lakeweave.functions.text import clean_value
+from lakeweave.functions.text import clean_value, plain_number
 from lakeweave.session import materialize
 
 COLUMN_KEY = ["dataset_id", "column_name"]
@@ -22,11 +22,14 @@ def column_values(cells: DataFrame) -> DataFrame:
     shuffle with map-side combine instead of 129 hashes for every cell. Blank values stay in, as the
     empty text, because they count as support; the sketch itself leaves them out.
     """
-    return (
-        cells.where(F.col("value").isNotNull())
-        .groupBy(*COLUMN_KEY, clean_value(F.col("value")).alias("value"))
-        .agg(F.count(F.lit(1)).alias("cells"))
-    )
+    present = cells.where(F.col("value").isNotNull())
+    if "fraction" not in cells.columns:
+        return present.groupBy(*COLUMN_KEY, clean_value(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("cells"))
+    # Numbers get their one form after the cells are distinct, and the few that then agree are counted together where they are spread anyway.
+    raw = present.groupBy(*COLUMN_KEY, "value", "fraction").agg(F.count(F.lit(1)).alias("cells"))
+    text = F.when(F.col("fraction"), plain_number(F.col("value"))).otherwise(F.col("value"))
+    spread = _spread(raw.select(*COLUMN_KEY, clean_value(text).alias("value"), "cells"))
+    return spread.groupBy(*COLUMN_KEY, "value").agg(F.sum("cells").alias("cells"))
 
 
 def column_support(values: DataFrame) -> DataFrame:
@@ -48,14 +51,15 @@ def _spread(values: DataFrame) -> DataFrame:
 
 
 def registers(
-    values: DataFrame, num_hashes: int = NUM_HASHES, precision: int = PRECISION, family: str = "sha1"
+    values: DataFrame, num_hashes: int = NUM_HASHES, precision: int = PRECISION, family: str = "sha1", spread: bool = False
 ) -> DataFrame:
     """Register bank ``(dataset_id, column_name, slot, reg)`` of the columns in ``values``.
 
-    Banks of two sets of values merge by taking the minimum per slot, see `merge_registers`.
+    Banks of two sets of values merge by taking the minimum per slot, see `merge_registers`. ``spread`` tells that the values are evened out already.
     """
+    filled = values.where(F.col("value") != "")
     hashed = (
-        _spread(values.where(F.col("value") != ""))
+        (filled if spread else _spread(filled))
         .select(
             *COLUMN_KEY,
             "value",
@@ -138,10 +142,12 @@ def build_sketches(
     if cardinality not in CARDINALITY_MODES:
         raise ValueError(f"cardinality must be one of {CARDINALITY_MODES}, not {cardinality!r}")
     values = column_values(cells)
+    spread = "fraction" in cells.columns
     if min_support or keep_empty or cardinality != "registers":
         # Read more than once below: the source is scanned and made distinct a single time.
         values = materialize(values, "values")
-    banks = registers(values, num_hashes, precision, family)
+        spread = False
+    banks = registers(values, num_hashes, precision, family, spread)
     sketches = sketches_from_registers(banks, num_hashes, precision)
     if cardinality != "registers":
         present = values.where(F.col("value") != "")

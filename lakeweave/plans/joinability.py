@@ -15,14 +15,14 @@ from lakeweave.operators.joinability import joinable_pairs, rank_pairs
 from lakeweave.operators.sketch import build_sketches
 from lakeweave.operators.stats import equal_width_histogram
 from lakeweave.session import materialize
-from lakeweave.sources.lake import boolean_columns, cells_of_rows, read_rows, without_columns
+from lakeweave.sources.lake import WHOLE_BYTES, boolean_columns, cells_of_rows, read_rows, without_columns
 from lakeweave.sources.tables import cells_from_tables, read_tables
 
 
 def lake_sketches(spark: SparkSession, directory: str, names, **options) -> DataFrame:
     """Stored sketches of all columns of the named tables."""
     tables = read_tables(spark, directory, names)
-    cells = cells_from_tables(tables)
+    cells = cells_from_tables(tables, plain=False)
     return materialize(build_sketches(cells, **options), "sketches")
 
 
@@ -39,10 +39,10 @@ def lake_pairs(
     return rank_pairs(joinable_pairs(sketches, js_threshold, jc_threshold))
 
 
-def landed_sketches(spark: SparkSession, path: str, min_support: int = 50, **options) -> DataFrame:
+def landed_sketches(spark: SparkSession, path: str, min_support: int = 50, whole_bytes: int = WHOLE_BYTES, **options) -> DataFrame:
     """Stored sketches of the JSON datasets landed below ``path``."""
     # Files are split into records once; the records, which are many tasks, are what is parsed and counted.
-    rows = materialize(read_rows(spark, path), "landed-rows")
+    rows = materialize(read_rows(spark, path, whole_bytes=whole_bytes), "landed-rows")
     cells = cells_of_rows(rows)
     sketches = build_sketches(cells, min_support=min_support, **options)
     return materialize(without_columns(sketches, boolean_columns(cells, rows)), "sketches")

@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.functions import buckets as B
+from lakeweave.functions import hashing
 from lakeweave.functions.text import page_title, safe_alias, safe_domain
 from lakeweave.operators import graph, profile, resume, similarity, sketch, stats, summary
 from lakeweave.operators.joinability import joinable_pairs, rank_pairs
 from lakeweave.plans.catalog import domain_summaries, profiled_records
-from lakeweave.plans.joinability import lake_sketches
+from lakeweave.plans.joinability import lake_sketches, landed_sketches
 from lakeweave.plans.similarity import alike_columns
 from lakeweave.session import scratch_path
 from lakeweave.sources import files, lake
-from lakeweave.sources.tables import cells_from_tables, cells_of, first_cells, read_tables
+from lakeweave.sources.tables import cells_from_tables, cells_of, first_cells, kept_columns, read_tables
 from lakeweave.streaming import incremental
 
 TABLES = (
@@ -28,6 +29,9 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+# The tables that stand in for landed JSON datasets.
+LANDED = ("customer", "orders")
+
 # 2000-01-01: some of the order dates lie ahead of it.
 NOW = 946_684_800.0
 
@@ -120,6 +124,24 @@ def column_sketches(spark, d):
     return built.select(*sketch.COLUMN_KEY, signature.alias("signature"), "cardinality")
 
 
+def land(rows: DataFrame, target: str, rows_a_file: int = 5_000) -> None:
+    """Write rows as files of one JSON array each below the folder ``target``. No file is put together from more rows than that."""
+    texts = rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("row"), F.floor(F.monotonically_increasing_id() / rows_a_file).alias("part"))
+    bodies = texts.groupBy("part").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("row"), ",\n"), F.lit("\n]")).alias("body"))
+    bodies.repartition("part").write.partitionBy("part").text(target)
+
+
+@query
+def landed_file_sketches(spark, d):
+    """Sketches of two tables that are landed as JSON files in the shared folder; the larger files are read in ranges."""
+    path = scratch_path(spark, "landed")
+    for name in LANDED:
+        rows = table(spark, d, name)
+        land(rows.select(*[f"`{f.name}`" for f in kept_columns(rows)]), f"{path}/data_{name}.json")
+    built = landed_sketches(spark, path, min_support=50, whole_bytes=64 << 10)
+    return built.select(*sketch.COLUMN_KEY, F.array_join(F.transform("signature", hashing.signature_hex), ",").alias("signature"), "cardinality")
+
+
 @query
 def exact_cardinality(spark, d):
     built = sketch.build_sketches(cells(spark, d), family="xxhash64", cardinality="exact")

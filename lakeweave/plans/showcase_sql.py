@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lakeweave.plans.sql_cells import (
+    TEST_TABLES,
     cardinality_cte,
     pairs_sql,
     signature_cte,
@@ -69,8 +70,8 @@ SELECT dataset_id, column_name, pos AS position, h AS hash FROM sig"""
 SQL["register_cardinality"] = f"WITH {values_cte()}, {cardinality_cte()} SELECT * FROM card"
 
 
-def _sketches_sql(keep: str) -> str:
-    return f"""WITH {values_cte()}, {signature_cte()}, {cardinality_cte()},
+def _sketches_sql(keep: str, tables=TEST_TABLES) -> str:
+    return f"""WITH {values_cte(tables)}, {signature_cte()}, {cardinality_cte()},
 joined AS (SELECT dataset_id, column_name, string_agg(h, ',' ORDER BY pos) AS signature FROM sig GROUP BY ALL)
 SELECT dataset_id, column_name, signature, cardinality
 FROM joined JOIN card USING (dataset_id, column_name) JOIN support USING (dataset_id, column_name)
@@ -79,6 +80,7 @@ WHERE {keep}"""
 
 SQL["column_sketches"] = _sketches_sql("support >= 50")
 SQL["streamed_sketches"] = _sketches_sql("true")
+SQL["landed_file_sketches"] = _sketches_sql("support >= 50", ("customer", "orders"))
 SQL["exact_cardinality"] = f"""WITH {values_cte()}
 SELECT dataset_id, column_name, count(*) AS cardinality FROM vals WHERE v <> '' GROUP BY ALL"""
 
@@ -195,7 +197,7 @@ GROUP BY ALL ORDER BY count DESC, dataset LIMIT 10"""
 
 
 def _ordered_cells() -> str:
-    from lakeweave.plans.sql_cells import TEST_TABLES, _text_of
+    from lakeweave.plans.sql_cells import _text_of
 
     keys = {
         "region": "r_regionkey",

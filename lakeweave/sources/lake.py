@@ -6,13 +6,14 @@ VARIANT value applies to a row and not to a whole dataset.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeweave import schemas
 from lakeweave.functions import times
 from lakeweave.functions.text import plain_number, strip
 from lakeweave.operators.sketch import COLUMN_KEY
+from lakeweave.session import materialize
 
 ROUTES = ("accepted", "empty", "error", "not_json", "not_array")
 
@@ -23,10 +24,7 @@ def read_bodies(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     ``domain`` is the name of the folder that holds the file.
     """
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", f"{prefix}*.json")
-        .option("recursiveFileLookup", True)
-        .text(path)
+        spark.read.text(path, wholetext=True, pathGlobFilter=f"{prefix}*.json", recursiveFileLookup=True)
         .select(
             F.element_at(F.split("_metadata.file_path", "/"), -2).alias("domain"),
             F.regexp_extract("_metadata.file_name", f"^{prefix}(.*)\\.json$", 1).alias("dataset_id"),
@@ -149,9 +147,90 @@ def without_columns(table: DataFrame, columns: DataFrame) -> DataFrame:
     return table.join(columns.select(*COLUMN_KEY), COLUMN_KEY, "left_anti")
 
 
-def read_rows(spark: SparkSession, path: str, prefix: str = "data_") -> DataFrame:
-    """Records of all dataset payloads below ``path``."""
-    return rows_of(read_bodies(spark, path, prefix))
+#: Files of more bytes are split; smaller ones are read as one value each, which needs no shuffle.
+WHOLE_BYTES = 32 << 20
+
+FILE = ["path", "block"]
+
+
+def _landed_files(spark: SparkSession, path: str, prefix: str, condition: Column, **options) -> DataFrame:
+    """Text of the landed files, with the dataset that the file, or a folder of files, is named after."""
+    name = F.regexp_extract("_metadata.file_path", f"/{prefix}([^/]*)\\.json(/.*)?$", 1)
+    found = spark.read.text(path, recursiveFileLookup=True, **options)
+    return found.where(condition).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), name.alias("dataset_id"), F.col("value").alias("text")
+    ).where(F.col("dataset_id") != "")
+
+
+def running(rows: DataFrame, order: str, amounts: dict[str, Column]) -> DataFrame:
+    """Adds for each name the sum of its amount over all rows of the same file up to this one, without putting a file into one task.
+
+    Rows are summed within their block of the file; the totals of blocks, one row each, are summed within the file and added.
+    """
+    within = Window.partitionBy(*FILE).orderBy(order)
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    named = rows.withColumns({f"{n}_own": a for n, a in amounts.items()})
+    totals = named.groupBy(*FILE).agg(*[F.sum(f"{n}_own").alias(f"{n}_block") for n in amounts])
+    bases = totals.select(*FILE, *[F.coalesce(F.sum(f"{n}_block").over(before), F.lit(0)).alias(f"{n}_base") for n in amounts])
+    summed = named.withColumns({n: F.sum(f"{n}_own").over(within) for n in amounts})
+    joined = summed.join(bases, FILE).withColumns({n: F.col(n) + F.col(f"{n}_base") for n in amounts})
+    return joined.drop(*[f"{n}_{end}" for n in amounts for end in ("own", "base")])
+
+
+def _occurrences(text: Column, signs: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, signs, ""))
+
+
+def split_rows(spark: SparkSession, path: str, prefix: str = "data_", condition: Column | None = None) -> DataFrame:
+    """``(dataset_id, row_id, row)`` of JSON arrays of any size: a file is read in byte ranges, and its records are put together from them.
+
+    The text is cut behind every ``}``, which the reader does wherever a range of the file ends. A cut is the end of a record if it stands outside of quotes
+    and one level deep. Both follow from running sums: of the quotes before a piece, and then of the brackets outside of quotes. Pieces between two
+    ends are joined and parsed as the part of the array that they are. A file whose sums do not come out even, or that is no array, has no rows. An array without
+    objects is one piece.
+    """
+    pieces = _landed_files(spark, path, prefix, F.lit(True) if condition is None else condition, lineSep="}")
+    pieces = materialize(pieces.withColumn("place", F.monotonically_increasing_id()), "pieces")
+    # A backslash and the character behind it are no quote; no pair of them is cut, since a bracket is never escaped.
+    bare = F.regexp_replace("text", r"\\.", "")
+    quoted = running(pieces, "place", {"quotes": _occurrences(bare, '"')})
+    own = _occurrences(bare, '"')
+    opens_inside = (F.col("quotes") - own) % 2 == 1
+    outside = F.regexp_replace(F.when(opens_inside, F.concat(F.lit('"'), bare)).otherwise(bare), '"[^"]*("|$)', "")
+    closes = F.col("quotes") % 2 == 0
+    change = _occurrences(outside, "[{") - _occurrences(outside, "]}") - F.when(closes, 1).otherwise(0)
+    # The last piece of a file has no bracket behind it; what it lacks is evened out by counting the file's end as one level up.
+    deep = running(quoted.withColumn("closes", closes), "place", {"depth": change})
+    ended = F.col("closes") & (F.col("depth") == 1)
+    numbered = running(deep, "place", {"ends": F.when(ended, 1).otherwise(0)}).withColumn("record", F.col("ends") - F.when(ended, 1).otherwise(0))
+    numbered = materialize(numbered.select("path", "block", "dataset_id", "place", "text", "record", "depth", "closes"), "numbered")
+    last = F.struct("block", "place")
+    sound = numbered.groupBy("path").agg(
+        F.max(last).alias("last"), F.max_by(F.struct("depth", "closes", "text"), last).alias("end"), F.min_by("text", last).alias("start")
+    )
+    # Behind the last object stands the bracket of the array alone, and the piece counted one level too many down.
+    sound = sound.where((F.col("end.depth") == -1) & F.col("end.closes") & strip(F.col("start")).startswith("[") & strip(F.col("end.text")).endswith("]"))
+    joined = numbered.join(sound.select("path", "last"), "path").withColumn("final", last == F.col("last"))
+    text = F.when(F.col("final"), F.regexp_replace("text", r"\]\s*$", "")).otherwise(F.concat("text", F.lit("}")))
+    parts = joined.withColumn("text", text).groupBy("path", "dataset_id", "record").agg(
+        F.sort_array(F.collect_list(F.struct("block", "place", "text"))).alias("parts")
+    )
+    whole = F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["text"]), ""), r"^\s*[\[,]", "")
+    elements = F.from_json(F.concat(F.lit("["), whole, F.lit("]")), "array<string>")
+    groups = parts.select("path", F.col("parts")[0]["block"].alias("block"), "dataset_id", "record", elements.alias("rows"))
+    placed = running(groups, "record", {"after": F.coalesce(F.size("rows"), F.lit(0))})
+    first = F.col("after") - F.size("rows")
+    return placed.select("dataset_id", first.alias("first"), F.posexplode("rows").alias("k", "row")).select("dataset_id", (F.col("first") + F.col("k")).cast("int").alias("row_id"), "row")
+
+
+def read_rows(spark: SparkSession, path: str, prefix: str = "data_", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """Records of all dataset payloads below ``path``: files ``<prefix><dataset_id>.json``, or folders of that name with files of arrays in them.
+
+    A file of up to ``whole_bytes`` is one value; a larger one is read in ranges, see `split_rows`. ``row_id`` counts within a file.
+    """
+    small = F.col("_metadata.file_size") <= whole_bytes
+    bodies = _landed_files(spark, path, prefix, small, wholetext=True).withColumnRenamed("text", "body")
+    return rows_of(bodies).unionByName(split_rows(spark, path, prefix, ~small))
 
 
 def record_schemas(rows: DataFrame) -> DataFrame:

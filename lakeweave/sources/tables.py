@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeweave.functions.text import scalar_text
+from lakeweave.functions.text import raw_text, scalar_text, written_fraction
 
 KEPT_TYPES = (T.StringType, T.NumericType)
 
@@ -22,24 +22,28 @@ def kept_columns(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema.fields if isinstance(f.dataType, KEPT_TYPES)]
 
 
-def cells_of(df: DataFrame, dataset_id: str, row_id: str | None = None) -> DataFrame:
+def cells_of(df: DataFrame, dataset_id: str, row_id: str | None = None, plain: bool = True) -> DataFrame:
     """One row per cell. A table is read once however many columns it has.
 
-    ``row_id`` names a column that gives the row order; it is carried along as ``row_id``.
+    ``row_id`` names a column that gives the row order; it is carried along as ``row_id``. Without ``plain`` fractions stay as Spark writes
+    them and ``fraction`` tells them apart, so that what makes the cells distinct first has fewer numbers to bring into one form.
     """
-    texts = [scalar_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in kept_columns(df)]
+    write = scalar_text if plain else raw_text
+    texts = [write(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in kept_columns(df)]
     names = [f"`{f.name}`" for f in kept_columns(df)]
     order = [] if row_id is None else [F.col(f"`{row_id}`").alias("row_id")]
     carried = [] if row_id is None else ["row_id"]
+    fractions = [f.name for f in kept_columns(df) if written_fraction(f.dataType)]
+    told = [] if plain else [F.col("column_name").isin(fractions).alias("fraction")]
     return (
         df.select(*order, *texts)
         .unpivot(carried, names, "column_name", "value")
-        .select(F.lit(dataset_id).alias("dataset_id"), *carried, "column_name", "value")
+        .select(F.lit(dataset_id).alias("dataset_id"), *carried, "column_name", "value", *told)
     )
 
 
-def cells_from_tables(tables: dict[str, DataFrame]) -> DataFrame:
-    parts = [cells_of(df, name) for name, df in tables.items() if kept_columns(df)]
+def cells_from_tables(tables: dict[str, DataFrame], plain: bool = True) -> DataFrame:
+    parts = [cells_of(df, name, plain=plain) for name, df in tables.items() if kept_columns(df)]
     if not parts:
         raise ValueError("no table has a text or number column")
     return reduce(DataFrame.unionByName, parts)

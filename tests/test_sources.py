@@ -264,3 +264,36 @@ def test_cells_of_tables(spark):
         cells_from_tables({"d": spark.sql("SELECT true AS b")})
     assert set(PAIR_COLUMNS) == {c.split()[0] for c in schemas.PAIRS.split(", ")}
     assert profile.logical_type(frame.schema["t"].dataType) == "calendar_date"
+
+
+ARRAYS = {
+    "plain": [{"a": k, "b": f"value {k}"} for k in range(300)],
+    "quotes": [{"a": 'he said "}" or "{" \\\\', "b": "\\\\\"}, {"}, {"c": "[}]}"}, {"d": "é\u2028}"}] * 40,
+    "nested": [{"a": {"b": [{"c": 1}, {"d": {}}], "e": []}}, {}, {"f": [[{"g": "}"}]]}] * 30,
+    "mixed": [1, "}", None, {"a": 1}, [{"b": 2}, 3], 2.5, {"c": "x"}, "tail", []],
+    "one": [{"a": "x" * 5000 + "}" * 500}],
+    "scalars": [1, 2, "three"],
+    "empty": [],
+}
+
+
+def test_split_rows_equal_whole_rows(spark, tmp_path):
+    """Files in ranges of a few hundred bytes against the same files read whole."""
+    for name, rows in ARRAYS.items():
+        (tmp_path / f"data_{name}.json").write_text(json.dumps(rows, indent=None if len(name) % 2 else 1))
+    (tmp_path / "data_folder.json").mkdir()
+    (tmp_path / "data_folder.json" / "part-0.json").write_text(json.dumps(ARRAYS["nested"]))
+    for name, body in {"cut": '[{"a": 1}, {"b": ', "open": '[{"a": "x}]', "object": '{"a": [{"b": 1}]}', "none": "", "more": '[{"a": 1}] x', "deep": '[{"a": 1}}]'}.items():
+        (tmp_path / f"data_{name}.json").write_text(body)
+    (tmp_path / "metadata_plain.json").write_text("[{}]")
+    told = lambda rows: sorted((r.dataset_id, r.row_id, r.row) for r in rows.collect())
+    whole = told(lake.read_rows(spark, str(tmp_path), whole_bytes=1 << 20))
+    assert {(r[0], r[1]) for r in whole} >= {(n, k) for n, rows in ARRAYS.items() for k in range(len(rows))}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        split = told(lake.read_rows(spark, str(tmp_path), whole_bytes=-1))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    sound = set(ARRAYS) | {"folder"}
+    assert [r for r in split if r[0] in sound] == [r for r in whole if r[0] in sound]
+    assert {r[0] for r in split} <= sound
