@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import string
 from collections.abc import Callable
 
 import numpy as np
@@ -27,6 +28,9 @@ _SLACK = 1e-9
 # The arc cosine of numbers near 1 is good to about 1e-8.
 _ANGLE_SLACK = 1e-6
 
+# Whatever is no letter, digit or character beyond ASCII.
+WORD_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 MATCH_SCHEMA = "col1 string, col2 string, score double"
 
 
@@ -63,17 +67,25 @@ def column_texts(samples: DataFrame) -> DataFrame:
 
 
 def hashed_terms(texts: DataFrame, size: int = 256) -> DataFrame:
-    """Default embedder: unit vectors of hashed word counts, without a model to download.
+    """Default embedder: unit vectors of signed word counts, without a model to download. A null text is empty; a text without words has the zero vector.
 
+    Words are runs of letters, digits and all characters beyond ASCII, with A-Z in lower case. The first 8 hex digits of a word's MD5 digest, modulo
+    twice the size, name its slot: the slots of the upper half count down, so that words which share a place cancel out on average.
     Any ``DataFrame -> DataFrame`` that adds ``embedding ARRAY<DOUBLE>`` can take its place.
     """
-    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+    from pyspark.ml.feature import CountVectorizerModel
     from pyspark.ml.functions import vector_to_array
 
-    tokens = RegexTokenizer(inputCol="text", outputCol="_words", pattern="\\W+").transform(texts)
-    counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=size).transform(tokens)
-    unit = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0).transform(counts)
-    return unit.withColumn("embedding", vector_to_array("_unit")).drop("_words", "_counts", "_unit")
+    lower = F.translate(F.coalesce(F.col("text"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    words = F.filter(F.split(lower, WORD_BREAK), lambda w: w != "")
+    slots = F.transform(words, lambda w: (F.conv(F.left(F.md5(w), F.lit(8)), 16, 10).cast("bigint") % (2 * size)).cast("string"))
+    counter = CountVectorizerModel.from_vocabulary([str(k) for k in range(2 * size)], inputCol="_slots", outputCol="_counts")
+    counted = counter.transform(texts.withColumn("_slots", slots)).withColumn("_counts", vector_to_array("_counts"))
+    halves = F.slice("_counts", 1, size), F.slice("_counts", size + 1, size)
+    signed = counted.withColumn("_signed", F.zip_with(*halves, lambda up, down: up - down))
+    sized = signed.withColumn("_norm", F.sqrt(F.aggregate("_signed", F.lit(0.0), lambda total, x: total + x * x)))
+    unit = F.transform("_signed", lambda x: F.when(F.col("_norm") > 0, x / F.nullif(F.col("_norm"), F.lit(0.0))).otherwise(F.lit(0.0)))
+    return sized.withColumn("embedding", unit).drop("_slots", "_counts", "_signed", "_norm")
 
 
 def embed_columns(

@@ -62,7 +62,7 @@ def registers(
         (filled if spread else _spread(filled))
         .select(
             *COLUMN_KEY,
-            "value",
+            hashing.hashed_once(F.col("value"), family).alias("value"),
             F.posexplode(hashing.seed_array(num_hashes, family)).alias("position", "seed"),
         )
         .select(

@@ -151,7 +151,7 @@ def exact_cardinality(spark, d):
 @query
 def fast_joinable_columns(spark, d):
     return rank_pairs(
-        joinable_pairs(lake_sketches(spark, d, TABLES, family="xxhash64", cardinality="exact"))
+        joinable_pairs(lake_sketches(spark, d, TABLES, family="md5", cardinality="exact"))
     )
 
 
@@ -303,7 +303,9 @@ def column_embedding(spark, d):
 
 @query
 def alike_by_embedding(spark, d):
-    return alike_columns(similarity.telling_cells(ordered_cells(spark, d, 50)), 50, 0.5).withColumn("score", F.round("score", 9))
+    # Rounded before they are ordered, so that equal scores stay equal.
+    alike = alike_columns(similarity.telling_cells(ordered_cells(spark, d, 50)), 50, 0.5, top=None)
+    return similarity.top_matches(alike.withColumn("score", F.round("score", 9)))
 
 
 # --- catalog ------------------------------------------------------------------------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 from lakeweave.plans.sql_cells import (
     TEST_TABLES,
     cardinality_cte,
+    once_hashed_cte,
+    pairs_cte,
     pairs_sql,
     signature_cte,
     values_cte,
@@ -22,6 +24,7 @@ SQL["joinable_preview"] = pairs_sql(
     """SELECT * FROM pairs ORDER BY jc_left_in_right DESC, jc_right_in_left DESC, js DESC,
        left_dataset, left_column, right_dataset, right_column LIMIT 100"""
 )
+SQL["fast_joinable_columns"] = f"WITH {values_cte()}, {once_hashed_cte()}, {pairs_cte('exact')} SELECT * FROM pairs"
 
 # Columns of the test tables with their logical type.
 PROFILED = {
@@ -230,11 +233,39 @@ ranked AS (
 SQL["column_samples"] = f"""{_SAMPLED}
 SELECT dataset_id, column_name, string_agg(value, '|' ORDER BY rn) AS samples
 FROM ranked WHERE rn <= 25 GROUP BY ALL"""
-SQL["column_text"] = f"""{_SAMPLED}
-SELECT dataset_id, column_name,
+_TEXTS = """SELECT dataset_id, column_name,
        'Column: ' || dataset_id || '.' || column_name || '. Sample values: '
          || coalesce(string_agg(value, ', ' ORDER BY rn) FILTER (value <> '' AND NOT falsy), '') AS text
 FROM ranked WHERE rn <= 50 GROUP BY dataset_id, column_name"""
+SQL["column_text"] = f"{_SAMPLED} {_TEXTS}"
+_EMBEDDED = r"""
+words AS (
+  SELECT dataset_id, column_name, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS word
+  FROM texts),
+slots AS (
+  SELECT dataset_id, column_name, ('0x' || substr(md5(word), 1, 8))::BIGINT % 512 AS slot FROM words WHERE word <> ''),
+counted AS (
+  SELECT dataset_id, column_name, slot % 256 AS place, sum(CASE WHEN slot < 256 THEN 1 ELSE -1 END)::DOUBLE AS n
+  FROM slots GROUP BY ALL),
+norms AS (SELECT dataset_id, column_name, sqrt(sum(n * n)) AS norm FROM counted GROUP BY ALL),
+embedded AS (
+  SELECT t.dataset_id, t.column_name,
+         list(CASE WHEN norm > 0 THEN coalesce(n, 0::DOUBLE) / norm ELSE 0::DOUBLE END ORDER BY r.place) AS embedding
+  FROM texts t CROSS JOIN range(256) r(place)
+  LEFT JOIN counted c ON t.dataset_id = c.dataset_id AND t.column_name = c.column_name AND r.place = c.place
+  LEFT JOIN norms m ON t.dataset_id = m.dataset_id AND t.column_name = m.column_name
+  GROUP BY ALL)"""
+SQL["column_embedding"] = f"{_SAMPLED}, texts AS ({_TEXTS}), {_EMBEDDED} SELECT * FROM embedded"
+SQL["alike_by_embedding"] = f"""{_SAMPLED}, texts AS ({_TEXTS}), {_EMBEDDED},
+named AS (SELECT dataset_id || '.' || column_name AS name, embedding AS e FROM embedded WHERE list_sum(list_transform(embedding, lambda x: abs(x))) > 0)
+SELECT a.name AS col1, b.name AS col2, round(list_cosine_similarity(a.e, b.e), 9) AS score
+FROM named a JOIN named b ON a.name < b.name WHERE list_cosine_similarity(a.e, b.e) >= 0.5
+ORDER BY score DESC, col1, col2 LIMIT 50"""
+SQL["streamed_embeddings"] = f"""WITH texts AS (
+  SELECT 'd' || doc_id AS dataset_id, 'text' AS column_name, min(text) AS text FROM documents GROUP BY ALL), {_EMBEDDED}
+SELECT * FROM embedded"""
 
 # --- catalog ------------------------------------------------------------------------------------------
 

@@ -65,6 +65,22 @@ sig AS (
   FROM vals CROSS JOIN seeds WHERE v <> '' GROUP BY ALL)"""
 
 
+def once_hashed_cte() -> str:
+    """``sig`` and ``exact`` of the family that takes one digest a value, and exact sizes."""
+    draw = lambda name: f"1 + ('0x' || substr(md5('{name}:' || pos), 1, 8))::BIGINT % 2147483646 AS f{name}"
+    return f"""
+once AS (
+  SELECT dataset_id, column_name, ('0x' || substr(md5(v), 1, 8))::BIGINT % 2147483647 AS lo,
+         ('0x' || substr(md5(v), 9, 8))::BIGINT % 2147483647 AS hi
+  FROM vals WHERE v <> ''),
+seeds AS (SELECT pos, {", ".join(draw(n) for n in "abcdef")} FROM range(128) r(pos)),
+sig AS (
+  SELECT dataset_id, column_name, pos,
+         min(((fa * lo + fb * hi + fc) % 2147483647) * 2147483648 + (fd * lo + fe * hi + ff) % 2147483647) AS h
+  FROM once CROSS JOIN seeds GROUP BY ALL),
+exact AS (SELECT dataset_id, column_name, count(*) AS cardinality FROM once GROUP BY ALL)"""
+
+
 def cardinality_cte() -> str:
     return """
 bits AS (
