@@ -49,6 +49,16 @@ def dataset_pair_counts(pairs: DataFrame) -> DataFrame:
     )
 
 
+def pair_counts_of_edges(edges: DataFrame) -> DataFrame:
+    """`dataset_pair_counts` from edges; the left dataset of a pair sorts first, as ``src`` does."""
+    return edges.select(F.col("src").alias("left_dataset"), F.col("dst").alias("right_dataset"), F.col("num_joinable_columns").alias("num_column_pairs"))
+
+
+def hub_degree_of_edges(edges: DataFrame) -> DataFrame:
+    """`hub_degree` from edges: each edge is one partner for either end."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("dataset")).groupBy("dataset").agg(F.count(F.lit(1)).alias("num_partners"))
+
+
 def hub_degree(pairs: DataFrame) -> DataFrame:
     """Distinct partners of each dataset, counted over both directions."""
     left, right = F.col("left_dataset"), F.col("right_dataset")

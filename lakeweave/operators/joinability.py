@@ -58,8 +58,12 @@ def _blocks(count: Column, block: int) -> Column:
     return F.ceil(count / F.lit(block)).cast("bigint")
 
 
-def _shared_tokens(classes: DataFrame, block: int) -> DataFrame:
-    """Tokens that at least two classes share, ranked within the class from frequent to rare."""
+def _shared_tokens(classes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Tokens that at least two classes share, ranked within the class from frequent to rare, and the slots of those that are split.
+
+    A split token has its list of slots once, beside the tokens and not on each of their rows, so what is stored grows with the classes
+    also where one token is in all of them.
+    """
     tokens = classes.select(
         "class_id",
         "cardinality",
@@ -86,23 +90,21 @@ def _shared_tokens(classes: DataFrame, block: int) -> DataFrame:
         )
     )
     split = F.col("frequency") > block
-    return tokens.join(frequency, ["position", "hash"]).select(
+    shared = tokens.join(frequency, ["position", "hash"]).select(
         "class_id",
         "cardinality",
         "position",
         "hash",
         (F.row_number().over(by_frequency) - 1).alias("rank"),
         F.when(split, slot).otherwise(F.lit(0).cast("bigint")).alias("slot"),
-        F.when(split, all_slots)
-        .otherwise(F.array(F.lit(0).cast("bigint")))
-        .alias("slots"),
         split.alias("split"),
     )
+    return shared, frequency.where(split).select("position", "hash", all_slots.alias("slots"))
 
 
 def _candidates(classes: DataFrame, num_hashes: int, js_t: float, jc_t: float, block: int) -> DataFrame:
     """Distinct class pairs ``(x, y)``, ``x < y``, holding every pair of classes that can pass."""
-    tokens = materialize(_shared_tokens(classes, block), "tokens")
+    tokens, split_tokens = (materialize(part, label) for part, label in zip(_shared_tokens(classes, block), ("tokens", "split-tokens"), strict=True))
     needed_at = F.array(
         *[
             F.lit(matches_needed_value(2.0 ** (gap + 1), num_hashes, js_t, jc_t))
@@ -113,15 +115,15 @@ def _candidates(classes: DataFrame, num_hashes: int, js_t: float, jc_t: float, b
     def useful(other: Column) -> Column:
         level = lambda s: F.floor(s / F.lit(_LEVEL_STRIDE)).cast("int")
         gap = F.abs(level(other) - level(F.col("slot")))
-        return ~F.col("split") | (F.col("rank") >= F.get(needed_at, gap) - 1)
+        return F.col("rank") >= F.get(needed_at, gap) - 1
 
     def side(prefix: str, partner: Column, low: str, high: str) -> DataFrame:
-        return tokens.select(
-            *[F.col(c).alias(f"{prefix}_{c}") for c in ("class_id", "cardinality", "rank", "slot")],
-            "position",
-            "hash",
-            F.explode(F.filter(partner, useful)).alias("partner"),
-        ).select(
+        own = [F.col(c).alias(f"{prefix}_{c}") for c in ("class_id", "cardinality", "rank", "slot")]
+        whole = tokens.where(~F.col("split")).select(*own, "position", "hash", F.lit(0).cast("bigint").alias("partner"))
+        # Broadcast while the lists are small, which is the rule; beyond that a skewed token is cut by adaptive execution, its list has one row.
+        dealt = tokens.where("split").join(split_tokens, ["position", "hash"])
+        dealt = dealt.select(*own, "position", "hash", F.explode(F.filter(partner, useful)).alias("partner"))
+        return whole.unionByName(dealt).select(
             "position",
             "hash",
             F.col(low.format(prefix)).alias("low"),
@@ -196,66 +198,94 @@ def _class_pairs(classes: DataFrame, num_hashes: int, js_t: float, jc_t: float,
     )
 
 
-def _expand(class_pairs: DataFrame, classes: DataFrame, members: DataFrame, block: int) -> DataFrame:
-    """Class pairs to column pairs; a class larger than ``block`` is spread over several chunks."""
-    big = classes.where(F.col("members") > block).select("class_id", "members")
-    chunked = members.join(big, "class_id", "left").select(
+def _meet(class_pairs: DataFrame, holders: DataFrame, names: list[str], held: tuple[Column, Column], sizes: DataFrame, block: int) -> DataFrame:
+    """Class pairs with what the two classes hold: columns ``names`` of ``holders``, as ``x_`` and ``y_``, of different datasets.
+
+    A class of more than ``block`` holders, by ``sizes(class_id, n)`` and in ``held`` for the two classes of a pair, is spread over several
+    chunks. Of a class with itself each pair of holders comes once.
+    """
+    chunked = holders.join(sizes.where(F.col("n") > block), "class_id", "left").select(
         "class_id",
-        F.when(
-            F.col("members").isNotNull(),
-            F.pmod(F.xxhash64("dataset_id", "column_name"), _blocks(F.col("members"), block)),
-        )
+        F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64(*[n for n in names if n in ("dataset_id", "column_name")]), _blocks(F.col("n"), block)))
         .otherwise(F.lit(0))
         .cast("bigint")
         .alias("chunk"),
-        "dataset_id",
-        "column_name",
+        *names,
     )
 
-    def chunks(count: str) -> Column:
-        last = F.when(F.col(count) > block, _blocks(F.col(count), block)).otherwise(F.lit(1)) - 1
+    def chunks(count: Column) -> Column:
+        last = F.when(count > block, _blocks(count, block)).otherwise(F.lit(1)) - 1
         return F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))
 
     def as_side(prefix: str) -> DataFrame:
         return chunked.select(
             F.col("class_id").alias(prefix),
             F.col("chunk").alias(f"{prefix}_chunk"),
-            F.col("dataset_id").alias(f"{prefix}_dataset"),
-            F.col("column_name").alias(f"{prefix}_column"),
+            *[F.col(n).alias(f"{prefix}_{n}") for n in names],
         )
 
     same = F.col("x") == F.col("y")
-    met = (
-        class_pairs.withColumn("x_chunk", F.explode(chunks("x_members")))
-        .withColumn("y_chunk", F.explode(chunks("y_members")))
+    return (
+        class_pairs.withColumn("x_chunk", F.explode(chunks(held[0])))
+        .withColumn("y_chunk", F.explode(chunks(held[1])))
         .where(~same | (F.col("x_chunk") <= F.col("y_chunk")))
         .join(as_side("x"), ["x", "x_chunk"])
         .join(as_side("y"), ["y", "y_chunk"])
         .where(
-            (F.col("x_dataset") != F.col("y_dataset"))
+            (F.col("x_dataset_id") != F.col("y_dataset_id"))
             & (
                 ~same
                 | (F.col("x_chunk") < F.col("y_chunk"))
-                | (F.col("x_dataset") < F.col("y_dataset"))
+                | (F.col("x_dataset_id") < F.col("y_dataset_id"))
             )
         )
     )
-    forward = F.col("x_dataset") < F.col("y_dataset")
+
+
+def _expand(class_pairs: DataFrame, classes: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """Class pairs to column pairs."""
+    sizes = classes.select("class_id", F.col("members").alias("n"))
+    met = _meet(class_pairs, members, ["dataset_id", "column_name"], (F.col("x_members"), F.col("y_members")), sizes, block)
+    forward = F.col("x_dataset_id") < F.col("y_dataset_id")
 
     def pick(a: str, b: str) -> Column:
         return F.when(forward, F.col(a)).otherwise(F.col(b))
 
     return met.select(
-        pick("x_dataset", "y_dataset").alias("left_dataset"),
-        pick("x_column", "y_column").alias("left_column"),
-        pick("y_dataset", "x_dataset").alias("right_dataset"),
-        pick("y_column", "x_column").alias("right_column"),
+        pick("x_dataset_id", "y_dataset_id").alias("left_dataset"),
+        pick("x_column_name", "y_column_name").alias("left_column"),
+        pick("y_dataset_id", "x_dataset_id").alias("right_dataset"),
+        pick("y_column_name", "x_column_name").alias("right_column"),
         "js",
         pick("jc_x", "jc_y").alias("jc_left_in_right"),
         pick("jc_y", "jc_x").alias("jc_right_in_left"),
     )
 
 
+def _dataset_edges(class_pairs: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """Class pairs to edges of datasets: the columns a dataset has in a class are counted first, and the counts multiplied."""
+    held = materialize(members.groupBy("class_id", "dataset_id").agg(F.count(F.lit(1)).alias("columns")), "held")
+    sizes = held.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    sized = class_pairs
+    for side in "xy":
+        sized = sized.join(sizes.select(F.col("class_id").alias(side), F.col("n").alias(f"{side}_held")), side)
+    met = _meet(sized, held, ["dataset_id", "columns"], (F.col("x_held"), F.col("y_held")), sizes, block)
+    return met.groupBy(F.least("x_dataset_id", "y_dataset_id").alias("src"), F.greatest("x_dataset_id", "y_dataset_id").alias("dst")).agg(
+        F.sum(F.col("x_columns") * F.col("y_columns")).alias("num_joinable_columns"),
+        F.max("js").alias("max_js"),
+        F.max(F.greatest("jc_x", "jc_y")).alias("max_jc"),
+    )
+
+
+def _checked_class_pairs(sketches: DataFrame, js_threshold: float, jc_threshold: float, num_hashes: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    for name, value in (("js_threshold", js_threshold), ("jc_threshold", jc_threshold)):
+        if not 0 < value <= 1:
+            raise ValueError(f"{name} must be above 0 and at most 1, not {value}")
+    classes, members = signature_classes(sketches)
+    classes = materialize(classes, "classes")
+    return _class_pairs(classes, num_hashes, js_threshold, jc_threshold, block), classes, members
+
+
 def joinable_pairs(
     sketches: DataFrame,
     js_threshold: float = 0.3,
@@ -269,15 +299,25 @@ def joinable_pairs(
     tokens are stored on the way, since several joins need them. Thresholds lie in (0, 1]: at 0 every pair
     of columns would pass.
     """
-    for name, value in (("js_threshold", js_threshold), ("jc_threshold", jc_threshold)):
-        if not 0 < value <= 1:
-            raise ValueError(f"{name} must be above 0 and at most 1, not {value}")
-    classes, members = signature_classes(sketches)
-    classes = materialize(classes, "classes")
-    pairs = _class_pairs(classes, num_hashes, js_threshold, jc_threshold, block)
+    pairs, classes, members = _checked_class_pairs(sketches, js_threshold, jc_threshold, num_hashes, block)
     return _expand(pairs, classes, members, block)
 
 
+def joinable_datasets(
+    sketches: DataFrame,
+    js_threshold: float = 0.3,
+    jc_threshold: float = 0.5,
+    num_hashes: int = NUM_HASHES,
+    block: int = BLOCK,
+) -> DataFrame:
+    """The edges ``src < dst`` of `operators.graph.dataset_edges` for `joinable_pairs`, without making the column pairs.
+
+    Columns that are alike are counted per dataset before they meet, so many columns alike make no more rows than there are dataset pairs.
+    """
+    pairs, _, members = _checked_class_pairs(sketches, js_threshold, jc_threshold, num_hashes, block)
+    return _dataset_edges(pairs, members, block)
+
+
 def rank_pairs(pairs: DataFrame, limit: int | None = None) -> DataFrame:
     """Strongest pairs first, names as tie-break; ``limit`` gives a preview."""
     ordered = pairs.orderBy(

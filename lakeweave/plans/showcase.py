@@ -15,7 +15,7 @@ from lakeweave.functions import buckets as B
 from lakeweave.functions import hashing
 from lakeweave.functions.text import page_title, safe_alias, safe_domain
 from lakeweave.operators import graph, profile, resume, similarity, sketch, stats, summary
-from lakeweave.operators.joinability import joinable_pairs, rank_pairs
+from lakeweave.operators.joinability import joinable_datasets, joinable_pairs, rank_pairs
 from lakeweave.plans.catalog import domain_summaries, profiled_records
 from lakeweave.plans.joinability import lake_sketches, landed_sketches
 from lakeweave.plans.similarity import alike_columns
@@ -158,9 +158,14 @@ def fast_joinable_columns(spark, d):
 # --- join graph ---------------------------------------------------------------------------------------
 
 
+def edges(spark, d) -> DataFrame:
+    """Edges by counting; `visible_edges` and `dataset_nodes` make them from the pairs."""
+    return joinable_datasets(sketches(spark, d))
+
+
 @query
 def dataset_edges(spark, d):
-    return graph.dataset_edges(pairs(spark, d))
+    return edges(spark, d)
 
 
 @query
@@ -175,12 +180,12 @@ def dataset_nodes(spark, d):
 
 @query
 def dataset_pair_counts(spark, d):
-    return graph.dataset_pair_counts(pairs(spark, d))
+    return graph.pair_counts_of_edges(edges(spark, d))
 
 
 @query
 def hub_degree(spark, d):
-    return graph.top(graph.hub_degree(pairs(spark, d)), "num_partners", 15, "dataset")
+    return graph.top(graph.hub_degree_of_edges(edges(spark, d)), "num_partners", 15, "dataset")
 
 
 def table_labels(spark, d) -> DataFrame:
@@ -197,7 +202,7 @@ def table_labels(spark, d) -> DataFrame:
 
 @query
 def top_hubs(spark, d):
-    nodes = graph.dataset_nodes(graph.dataset_edges(pairs(spark, d)))
+    nodes = graph.dataset_nodes(edges(spark, d))
     return graph.top_hubs(nodes, graph.label_table(table_labels(spark, d)), 15)
 
 

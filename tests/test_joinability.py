@@ -3,9 +3,12 @@ import random
 import pytest
 
 import plain
+from lakeweave.operators import graph
 from lakeweave.operators.joinability import (
     PAIR_COLUMNS,
     _candidates,
+    _shared_tokens,
+    joinable_datasets,
     joinable_pairs,
     rank_pairs,
     signature_classes,
@@ -66,6 +69,59 @@ def test_equals_all_pairs(spark, block, js_t, jc_t, sizes):
     )
 
 
+def edges_of(spark, sketches, js_t, jc_t, num_hashes, block):
+    rows = [(ds, col, sig, size) for (ds, col), (sig, size) in sketches.items()]
+    frame = materialize(spark.createDataFrame(rows, SCHEMA), "test")
+    counted = joinable_datasets(frame, js_t, jc_t, num_hashes, block)
+    paired = graph.dataset_edges(joinable_pairs(frame, js_t, jc_t, num_hashes, block))
+    return sorted(counted.collect()), sorted(paired.collect()), counted
+
+
+def test_counted_edges_equal_those_of_pairs(spark):
+    counted, paired, _ = edges_of(spark, random_sketches(3, 100, 32, 6, [700, 740, 1500, 6000]), 0.3, 0.5, 32, 4)
+    assert counted and counted == paired
+
+
+def test_edges_of_many_copies_make_no_column_pairs(spark):
+    """A third of all columns are alike, most of them in one dataset: rows that meet are dataset pairs, not column pairs."""
+    sketches = {(f"d{i % 6}" if i < 40 else "d0", f"c{i}"): ([1] * 16, 100) for i in range(120)}
+    sketches |= {(f"e{i}", "x"): ([1] * 8 + [2 + i] * 8, 100) for i in range(3)}
+    counted, paired, frame = edges_of(spark, sketches, 0.3, 0.5, 16, 2)
+    assert counted == paired and sum(r.num_joinable_columns for r in counted) > 1_000
+    columns = _joined_rows(frame)
+    assert columns < 100
+
+
+def _joined_rows(frame):
+    """Rows that come out of the last join of a plan."""
+    frame.collect()
+    node = frame._jdf.queryExecution().executedPlan()
+    found = []
+
+    def walk(n):
+        name = n.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(n.executedPlan())
+        if name.endswith("QueryStage") or "QueryStage" in name:
+            return walk(n.plan())
+        if "Join" in name:
+            found.append(n.metrics().apply("numOutputRows").value())
+        for k in range(n.children().size()):
+            walk(n.children().apply(k))
+
+    walk(node)
+    return found[0]
+
+
+def test_slot_lists_are_held_once_a_token(spark):
+    """One token in all columns: its slots stand in one row, and the rows of the tokens have none."""
+    rows = [(f"d{i}", "c", [0, 10 + i // 2], 740 + i % 60) for i in range(200)]
+    classes, _ = signature_classes(spark.createDataFrame(rows, SCHEMA))
+    tokens, split = _shared_tokens(materialize(classes, "test"), 16)
+    assert "slots" not in tokens.columns
+    assert [(r.position, r.hash, len(r.slots) > 4) for r in split.collect()] == [(0, 0, True)]
+
+
 def test_copies_are_spread(spark):
     """Most columns are copies of one: one class, expanded in chunks."""
     same = ([1] * 16, 100)
@@ -134,8 +190,8 @@ def test_hot_tokens_make_few_candidates(spark):
     assert _candidates(classes, 128, 0.01, 0.01, 64).count() > 70_000
 
 
-@pytest.mark.parametrize("family", ["sha1", "xxhash64"])
-def test_columns_of_both_hash_families(spark, family):
+@pytest.mark.parametrize("family", ["sha1", "xxhash64", "md5"])
+def test_columns_of_all_hash_families(spark, family):
     draw = random.Random(4)
     cells = [
         (f"t{i % 4}", f"c{i}", str(draw.randrange(50 * (1 + i % 6)))) for i in range(12) for _ in range(400)

@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +87,18 @@ def test_alike_columns(spark):
 def test_top_matches(spark):
     frame = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.95), ("a", "d", 0.95)], sim.MATCH_SCHEMA)
     assert [r.col2 for r in sim.top_matches(frame, 2).collect()] == ["c", "d"]
+
+
+def test_hashed_terms_by_the_rule(spark):
+    """Words, slots and signs written out again, on odd texts; null and wordless texts have the zero vector."""
+    texts = [None, "", " ,. ", "Straße A-Z a_z 9", "x " * 500 + "Y", "İ, x\u0301"]
+    frame = spark.createDataFrame([("d", str(k), t) for k, t in enumerate(texts)], "dataset_id string, column_name string, text string")
+    found = {int(r.column_name): r.embedding for r in sim.embed_columns(frame).collect()}
+    for k, text in enumerate(texts):
+        wanted = np.zeros(256)
+        lower = "".join(c.lower() if c.isascii() else c for c in text or "")
+        for word in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lower):
+            slot = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 512
+            wanted[slot % 256] += 1 if slot < 256 else -1
+        norm = np.linalg.norm(wanted)
+        assert found[k] == pytest.approx(list(wanted / norm if norm else wanted))
