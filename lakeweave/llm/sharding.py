@@ -1,7 +1,7 @@
 """Shards of near equal weight by k-d tree partitioning, with DataFrame operations only.
 
 The unit is a group of equal texts, so copies never meet from different shards. A node of the tree is split at the weighted
-quantile of its widest metadata dimension. The quantile comes from histograms that Spark counts and that are narrowed until
+quantile of its widest metadata dimension, as a part of the dimension's width over all units. The quantile comes from histograms that Spark counts and that are narrowed until
 the border bucket weighs next to nothing; the driver sees ``BUCKETS`` sums per node, whatever the size of the input.
 A group that weighs a notable part of a shard is placed first, to the lightest shard, and the tree fills the rest up.
 """
@@ -66,12 +66,13 @@ def _heavy_first(rows: list[tuple[bytes, int]], total: int, shards: int) -> tupl
     return placed, [max(0.0, level - x) for x in load]
 
 
-def _split(units: DataFrame, root: Node, nodes: list[Node], room: list[float], dimensions: list[str], tolerance: float) -> None:
-    """Gives each of ``nodes`` a rule and two children."""
+def _split(units: DataFrame, root: Node, nodes: list[Node], room: list[float], widths: dict[str, int], tolerance: float) -> None:
+    """Gives each of ``nodes`` a rule and two children. ``widths`` are those of the dimensions over all units: a node's own widths are measured
+    as parts of them, so that a dimension counts as narrower once it has been split. Equal parts go to the dimension named first."""
+    dimensions = list(widths)
     at = units.withColumn("node", root.leaf_of(lambda n: n.low))
     whole = at.groupBy("node").agg(F.sum("weight").alias("weight"), *[f(d).alias(f"{f.__name__}_{d}") for d in dimensions for f in (F.min, F.max)])
     found = {r["node"]: r for r in whole.collect()}
-    widest = {d: max(1, max((r[f"max_{d}"] - r[f"min_{d}"] for r in found.values()), default=1)) for d in dimensions}
     search = {}
     for n in nodes:
         r = found.get(n.low)
@@ -80,7 +81,7 @@ def _split(units: DataFrame, root: Node, nodes: list[Node], room: list[float], d
         if r is None:
             search[n.low] = {"axis": dimensions[0], "low": 0, "high": 0, "want": 0, "done": True, "on": None}
             continue
-        axis = max(dimensions, key=lambda d: ((r[f"max_{d}"] - r[f"min_{d}"]) / widest[d], -dimensions.index(d)))
+        axis = max(dimensions, key=lambda d: ((r[f"max_{d}"] - r[f"min_{d}"]) / widths[d], -dimensions.index(d)))
         search[n.low] = {"axis": axis, "low": r[f"min_{axis}"], "high": r[f"max_{axis}"] + 1, "want": r["weight"] * share, "done": False, "on": None}
     # Each pass narrows the interval [low, high) that the border lies in; "on" is the value whose ties are told apart by hash.
     while any(not s["done"] for s in search.values()):
@@ -157,8 +158,10 @@ def kd_shards(docs: DataFrame, shards: int = 16, dimensions: dict[str, Column] |
     placed, room = _heavy_first([(bytes(r[0]), r[1]) for r in units.where(is_heavy).select("digest", "weight").collect()], total, shards)
     light = units.where(~is_heavy)
     root = Node(0, shards)
+    whole = light.agg(*[F.max(a) - F.min(a) for a in axes]).first()
+    widths = {a: max(1, width or 0) for a, width in zip(axes, whole, strict=True)}
     while nodes := [n for n in root.leaves() if n.high - n.low > 1]:
-        _split(light, root, nodes, room, list(axes), total * CLOSE / shards)
+        _split(light, root, nodes, room, widths, total * CLOSE / shards)
 
     spark = docs.sparkSession
     by_tree = light.select("digest", root.leaf_of(lambda n: n.low).cast("int").alias("shard"))
