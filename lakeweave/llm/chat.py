@@ -11,7 +11,7 @@ order of ``seq``, so a long conversation is spread over tasks until its final me
 | ``regenerate`` | clears the text; deltas that follow build it anew |
 | ``remove`` | takes the message out, unless a later edit or regeneration brings it back |
 
-Kinds not listed change nothing. The template marks a turn with ``<|im_start|>`` and ``<|im_end|>``. Texts are escaped so that no
+Events of kinds not listed, or of none, are left out: they make no message, name no role and take no place. The template marks a turn with ``<|im_start|>`` and ``<|im_end|>``. Texts are escaped so that no
 control string, of this template or of those in square brackets, can appear in them: ``&``, ``<`` and ``[`` become entities.
 """
 
@@ -82,10 +82,10 @@ def fold_events(events: DataFrame) -> DataFrame:
     empty one. A null ``conv_id`` is a conversation like any other.
     """
     log = F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text")))
-    kept = F.filter("log", lambda e: e["kind"].isin(*RESETS, "delta"))
-    folded = events.groupBy("conv_id", "message").agg(log.alias("log")).select("conv_id", "message", "log", kept.alias("kept"))
+    kept = events.where(F.col("kind").isin(*RESETS, "delta"))
+    folded = kept.groupBy("conv_id", "message").agg(log.alias("kept"))
     last = F.array_max(F.transform(folded["kept"], lambda e, i: F.when(e["kind"].isin(*RESETS), i).otherwise(-1)))
-    roles = F.filter("log", lambda e: e["role"].isNotNull())
+    roles = F.filter("kept", lambda e: e["role"].isNotNull())
     tail = F.slice("kept", F.greatest(F.col("last"), F.lit(0)) + 1, F.greatest(F.size("kept"), F.lit(1)))
     return (
         folded.withColumn("last", F.coalesce(last, F.lit(-1)))
@@ -93,7 +93,7 @@ def fold_events(events: DataFrame) -> DataFrame:
         .select(
             "conv_id",
             "message",
-            F.get(F.col("log"), F.lit(0))["seq"].alias("first_seq"),
+            F.get(F.col("kept"), F.lit(0))["seq"].alias("first_seq"),
             F.coalesce(F.get(roles, F.lit(0))["role"], F.lit("")).alias("role"),
             F.array_join(F.transform(F.filter(tail, lambda e: e["kind"] != "regenerate"), lambda e: F.coalesce(e["text"], F.lit(""))), "").alias("text"),
         )
