@@ -151,10 +151,13 @@ def neighbours(rows: DataFrame, every: int = 100, k: int = 10, recall: float = 0
     # A copy beyond the first k + 1 of its vector is further down than k others for any query.
     few = F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))
     candidates = materialize(sound.withColumn("copy", few).where(F.col("copy") <= k + 1).drop("copy"), "candidates")
-    sample = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toPandas()["vector"]
+    count = candidates.count()
+    # Only rows with small hashes, about twice as many as are wanted, are put in order. Rows are distinct, and so are nearly all their hashes.
+    place = F.xxhash64("vec_id", "vector")
+    small = candidates.where(place <= -(2.0**63) + 2.0**64 * min(1.0, 2 * SAMPLE / max(1, count)))
+    sample = small.orderBy(place, "vec_id").limit(SAMPLE).select("vector").toPandas()["vector"]
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    count = candidates.count()
     matrix = np.array(sample.tolist())
     leaves = max(1, min(LEAVES, count // LEAF_ROWS, len(matrix) // 4))
     tree = Tree(matrix, max(1, len(matrix) // leaves), leaves)
