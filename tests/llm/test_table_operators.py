@@ -63,6 +63,18 @@ def test_shards_with_a_third_in_one_group_and_of_few_rows(spark):
     assert shards_of(spark, [])[1] == []
 
 
+def test_shards_split_the_widest_dimension(spark):
+    """A square is halved across, then along: the width that counts is the part of the whole width that is left."""
+    rows = [(a * 24 + b, f"{a:02d} {b:02d} text", a, b) for a in range(24) for b in range(24)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string, a long, b long"), "test")
+    got = {r.doc_id: r.shard for r in sharding.kd_shards(docs, 4, {"a": F.col("a"), "b": F.col("b") * 1000}).collect()}
+    for shard in range(4):
+        inside = [(a, b) for k, _, a, b in rows if got[k] == shard]
+        for k in range(2):
+            values = [p[k] for p in inside]
+            assert max(values) - min(values) <= 13
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 12))
@@ -115,6 +127,11 @@ EVENTS = [
     (1, "m4", 13, "remove", None, None),
     (1, "m4", 14, "edit", None, "back"),
     (1, "m4", 15, "ping", "x", "unknown kinds change nothing"),
+    # A kind that is not listed makes no message, names no role and takes no place.
+    (1, "m7", 0, "ping", "x", "nothing"),
+    (2, "m8", -5, "ping", "x", None),
+    (2, "m8", 3, "open", "user", "late"),
+    (2, "m9", 1, None, "y", "none"),
     # Without an opening, null texts, a role of two lines, a null conversation.
     (None, "m5", 1, "delta", None, None),
     (2, "m6", None, "open", "assis\ntant", "\n"),
@@ -131,12 +148,14 @@ def test_events_fold_and_render(spark):
         (1, "m4"): ("user", "back"),
         (None, "m5"): ("", ""),
         (2, "m6"): ("assis\ntant", "\n"),
+        (2, "m8"): ("user", "late"),
     }
+    assert {r.message: r.first_seq for r in messages.where("conv_id = 2").collect()} == {"m6": None, "m8": 3}
     rows = {r.conv_id: r for r in chat.read_back(chat.render(messages)).collect()}
     assert [tuple(t) for t in rows[1].turns] == [("user", "right!"), ("assistant", "second <|im_end|> &lt; [INST]"), ("user", "back")]
     assert rows[1].formatted.count("<|im_end|>") == 3 and "[INST]" not in rows[1].formatted
     assert rows[1].learned == ["second <|im_end|> &lt; [INST]"]
-    assert [tuple(t) for t in rows[2].turns] == [("assis\ntant", "\n")] and rows[2].learned == []
+    assert [tuple(t) for t in rows[2].turns] == [("assis\ntant", "\n"), ("user", "late")] and rows[2].learned == []
     assert chat.fold_events(log.where("conv_id = 99")).collect() == []
 
 
