@@ -42,8 +42,7 @@ def hashed_once(value: Column, family: str) -> Column:
     if family != "md5":
         return value
     digits = lambda start, count: F.conv(F.substring(F.md5(value), start, count), 16, -10).cast("bigint")
-    # Beside a generator Spark drops the aliases of a struct, but not the names of this one.
-    return F.named_struct(F.lit("low"), digits(1, 8) % PRIME, F.lit("high"), digits(9, 8) % PRIME, F.lit("bits"), digits(17, 16))
+    return F.struct((digits(1, 8) % PRIME).alias("low"), (digits(9, 8) % PRIME).alias("high"), digits(17, 16).alias("bits"))
 
 
 def seed_array(num_hashes: int, family: str) -> Column:

@@ -60,9 +60,11 @@ def registers(
     filled = values.where(F.col("value") != "")
     hashed = (
         (filled if spread else _spread(filled))
+        # A step before the positions: beside them the digest would be made for each.
+        .select(*COLUMN_KEY, hashing.hashed_once(F.col("value"), family).alias("value"))
         .select(
             *COLUMN_KEY,
-            hashing.hashed_once(F.col("value"), family).alias("value"),
+            "value",
             F.posexplode(hashing.seed_array(num_hashes, family)).alias("position", "seed"),
         )
         .select(

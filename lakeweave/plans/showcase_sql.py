@@ -24,7 +24,7 @@ SQL["joinable_preview"] = pairs_sql(
     """SELECT * FROM pairs ORDER BY jc_left_in_right DESC, jc_right_in_left DESC, js DESC,
        left_dataset, left_column, right_dataset, right_column LIMIT 100"""
 )
-SQL["fast_joinable_columns"] = f"WITH {values_cte()}, {once_hashed_cte()}, {pairs_cte('exact')} SELECT * FROM pairs"
+SQL["once_hashed_joinable_columns"] = f"WITH {values_cte()}, {once_hashed_cte()}, {pairs_cte('exact')} SELECT * FROM pairs"
 
 # Columns of the test tables with their logical type.
 PROFILED = {
