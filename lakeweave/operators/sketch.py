@@ -12,9 +12,24 @@ from lakeweave.session import materialize
 COLUMN_KEY = ["dataset_id", "column_name"]
 NUM_HASHES = 128
 PRECISION = 10
+VALUES_A_TASK = 200_000
 CARDINALITY_MODES = ("registers", "exact", "approx")
 
 
+def distinct_values(cells: DataFrame) -> DataFrame:
+    """Cleaned values per column with the number of non-null cells behind each, made distinct as they are written.
+
+    Where ``fraction`` tells numbers apart, values are cleaned behind the shuffle, where there are fewer of them. Two spellings of one value
+    may so come as two rows, which minima do not mind and `column_values` folds.
+    """
+    present = cells.where(F.col("value").isNotNull())
+    if "fraction" not in cells.columns:
+        return present.groupBy(*COLUMN_KEY, clean_value(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("cells"))
+    raw = present.groupBy(*COLUMN_KEY, "value", "fraction").agg(F.count(F.lit(1)).alias("cells"))
+    text = F.when(F.col("fraction"), plain_number(F.col("value"))).otherwise(F.col("value"))
+    return raw.select(*COLUMN_KEY, clean_value(text).alias("value"), "cells")
+
+
 def column_values(cells: DataFrame) -> DataFrame:
     """Distinct cleaned values per column with the number of non-null cells behind each.
 
@@ -22,14 +37,10 @@ def column_values(cells: DataFrame) -> DataFrame:
     shuffle with map-side combine instead of 129 hashes for every cell. Blank values stay in, as the
     empty text, because they count as support; the sketch itself leaves them out.
     """
-    present = cells.where(F.col("value").isNotNull())
+    values = distinct_values(cells)
     if "fraction" not in cells.columns:
-        return present.groupBy(*COLUMN_KEY, clean_value(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("cells"))
-    # Numbers get their one form after the cells are distinct, and the few that then agree are counted together where they are spread anyway.
-    raw = present.groupBy(*COLUMN_KEY, "value", "fraction").agg(F.count(F.lit(1)).alias("cells"))
-    text = F.when(F.col("fraction"), plain_number(F.col("value"))).otherwise(F.col("value"))
-    spread = _spread(raw.select(*COLUMN_KEY, clean_value(text).alias("value"), "cells"))
-    return spread.groupBy(*COLUMN_KEY, "value").agg(F.sum("cells").alias("cells"))
+        return values
+    return values.groupBy(*COLUMN_KEY, "value").agg(F.sum("cells").alias("cells"))
 
 
 def column_support(values: DataFrame) -> DataFrame:
@@ -38,28 +49,25 @@ def column_support(values: DataFrame) -> DataFrame:
 
 
 def _spread(values: DataFrame) -> DataFrame:
-    """Even out the values before hashing.
+    """Even out stored values before hashing: file splits are cut by bytes, but each value costs 129 digests.
 
-    Hashing costs 129 digests a value, so partitions must be cut by work. Adaptive coalescing cuts by
-    bytes and would leave a few tasks with nearly all of it; an explicit partition number stays.
+    The number of tasks follows the number of values, which the files tell without a scan.
     """
-    spark = values.sparkSession
-    tasks = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism
-    )
+    tasks = max(2 * values.sparkSession.sparkContext.defaultParallelism, -(-values.count() // VALUES_A_TASK))
     return values.repartition(tasks, *COLUMN_KEY, "value")
 
 
 def registers(
-    values: DataFrame, num_hashes: int = NUM_HASHES, precision: int = PRECISION, family: str = "sha1", spread: bool = False
+    values: DataFrame, num_hashes: int = NUM_HASHES, precision: int = PRECISION, family: str = "sha1"
 ) -> DataFrame:
     """Register bank ``(dataset_id, column_name, slot, reg)`` of the columns in ``values``.
 
-    Banks of two sets of values merge by taking the minimum per slot, see `merge_registers`. ``spread`` tells that the values are evened out already.
+    Banks of two sets of values merge by taking the minimum per slot, see `merge_registers`. Values are hashed where they are: behind the
+    shuffle that made them distinct, which adaptive execution cuts into equal shares for all cores, so no text is shuffled a second time.
     """
     filled = values.where(F.col("value") != "")
     hashed = (
-        (filled if spread else _spread(filled))
+        filled
         # A step before the positions: beside them the digest would be made for each.
         .select(*COLUMN_KEY, hashing.hashed_once(F.col("value"), family).alias("value"))
         .select(
@@ -143,13 +151,13 @@ def build_sketches(
     """
     if cardinality not in CARDINALITY_MODES:
         raise ValueError(f"cardinality must be one of {CARDINALITY_MODES}, not {cardinality!r}")
-    values = column_values(cells)
-    spread = "fraction" in cells.columns
     if min_support or keep_empty or cardinality != "registers":
         # Read more than once below: the source is scanned and made distinct a single time.
-        values = materialize(values, "values")
-        spread = False
-    banks = registers(values, num_hashes, precision, family, spread)
+        values = materialize(column_values(cells), "values")
+        hashed = _spread(values)
+    else:
+        hashed = distinct_values(cells)
+    banks = registers(hashed, num_hashes, precision, family)
     sketches = sketches_from_registers(banks, num_hashes, precision)
     if cardinality != "registers":
         present = values.where(F.col("value") != "")

@@ -25,7 +25,16 @@ def test_registers_combine_before_the_shuffle(spark):
     text = plan(sketch.registers(sketch.column_values(cells)))
     assert "partial_min" in text and text.count("HashAggregate") == 4
     assert "SortAggregate" not in text and "BatchEvalPython" not in text
-    assert "REPARTITION_BY_NUM" in text
+
+
+def test_texts_are_shuffled_once(spark):
+    table = spark.read.parquet(f"{D}/orders.parquet")
+    for plain in (True, False):
+        text = plan(sketch.build_sketches(cells_of(table, "orders", plain=plain)))
+        shuffles = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+        # The text is named by its grouping expression where it is cleaned before.
+        assert sum("value#" in line or "_groupingexpression" in line for line in shuffles) == 1
+        assert "REPARTITION_BY_NUM" not in text
 
 
 def test_top_keys_are_limited_before_the_shuffle(spark):
