@@ -969,9 +969,8 @@ def streamed_sketches(spark, d):
     store = scratch_path(spark, "registers")
     for name in TABLES:
         stream = cells_of(_stream(spark, d, name), name)
-        incremental.update_registers(stream, f"{store}/{name}", scratch_path(spark, "progress"))
-    banks = spark.read.option("recursiveFileLookup", True).parquet(store)
-    built = sketch.sketches_from_registers(sketch.merge_registers(banks))
+        incremental.update_registers(stream, store, scratch_path(spark, "progress"))
+    built = incremental.stored_sketches(spark, store)
     return built.select(
         *sketch.COLUMN_KEY,
         F.concat_ws(

@@ -48,6 +48,8 @@ MATCHES = "col1 string, col2 string, score double"
 
 EMBEDDINGS = "dataset_id string, column_name string, embedding array<double>"
 
+REGISTERS = "dataset_id string, column_name string, slot int, reg bigint"
+
 SUMMARY = "domain string, statistic string, key string, count bigint"
 
 CATALOG_PAGE = (

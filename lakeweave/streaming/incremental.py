@@ -8,21 +8,25 @@ after a failure replaces its own output and nothing is counted twice.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lakeweave import schemas
 from lakeweave.operators.similarity import embed_columns, hashed_terms
 from lakeweave.operators.sketch import (
     COLUMN_KEY,
-    column_values,
+    distinct_values,
     merge_registers,
     registers,
     sketches_from_registers,
 )
 
+FAN = 8
+
 
 def file_stream(
     spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files_per_batch: int = 1000
@@ -47,23 +51,99 @@ def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint
     )
 
 
-def update_registers(stream: DataFrame, store: str, checkpoint: str, family: str = "sha1") -> None:
+def _run_name(checkpoint: str) -> str:
+    """Name of the folder that the runs of one checkpoint write to; a new checkpoint adds to a store and replaces nothing in it."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _complete_banks(spark: SparkSession, run: str) -> dict[tuple[int, int], str]:
+    """Completely written banks below the folder of a run: first and last batch, and the path."""
+    place, system = _file_system(spark, run)
+    found = {}
+    for status in system.listStatus(place) if system.exists(place) else []:
+        path = status.getPath()
+        bounds = path.getName().removeprefix("batches=").split("-")
+        marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+        if len(bounds) == 2 and all(b.isdigit() for b in bounds) and system.exists(marker):
+            found[int(bounds[0]), int(bounds[1])] = path.toString()
+    return found
+
+
+def _widest(banks: dict[tuple[int, int], str]) -> list[tuple[int, int]]:
+    """The fewest banks that hold every batch once: ranges nest, so a bank counts unless it lies within another one."""
+    return [r for r in banks if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in banks)]
+
+
+def update_registers(stream: DataFrame, store: str, checkpoint: str, family: str = "sha1", fan: int = FAN) -> None:
     """Fold the new cells of ``stream(dataset_id, column_name, value)`` into the register store.
 
-    Only the registers of the batch are written. They merge with the earlier ones by minimum, so the stream
-    itself keeps no state, however many columns there are.
+    Only the registers of the batch are written. They merge with the earlier ones by minimum, so the stream itself keeps no state,
+    however many columns there are. Every ``fan`` banks of one size are folded into one of the next size, so after n batches a read folds
+    less than ``fan`` banks of each of log(n) sizes. A folded bank takes the place of its parts at the moment its success marker appears,
+    and the parts are deleted in a later batch; a batch that is run again after a failure finds them and writes the same banks once more.
+    A checkpoint folder has banks of its own, several may feed one store.
     """
+    if fan < 2:
+        raise ValueError(f"fan must be at least 2, not {fan}")
+    run = f"{store}/run={_run_name(checkpoint)}"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        banks = registers(column_values(batch), family=family)
-        banks.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        before = {r: path for r, path in _complete_banks(spark, run).items() if r[1] < batch_id}
+        for bounds in set(before) - set(_widest(before)):
+            place, system = _file_system(spark, before.pop(bounds))
+            system.delete(place, True)
+        bank = lambda first: f"{run}/batches={first}-{batch_id}"
+        registers(distinct_values(batch), family=family).write.mode("overwrite").parquet(bank(batch_id))
+        width = fan
+        while (batch_id + 1) % width == 0:
+            first, part = batch_id + 1 - width, width // fan
+            parts = [before.get((start, start + part - 1)) for start in range(first, batch_id + 1 - part, part)]
+            if None in parts:  # Batches written under another fan stay as they are.
+                break
+            folded = merge_registers(spark.read.parquet(*parts, bank(batch_id + 1 - part)))
+            folded.write.mode("overwrite").parquet(bank(first))
+            width *= fan
 
     _run(stream, handle, checkpoint)
 
 
-def stored_sketches(spark: SparkSession, store: str) -> DataFrame:
+def register_banks(spark: SparkSession, store: str) -> list[str]:
+    """Paths of the banks that a read of the store folds."""
+    place, system = _file_system(spark, store)
+    runs = [s.getPath() for s in system.listStatus(place)] if system.exists(place) else []
+    paths = []
+    for run in runs:
+        if run.getName().startswith("run="):
+            banks = _complete_banks(spark, run.toString())
+            paths += [banks[bounds] for bounds in sorted(_widest(banks))]
+    return paths
+
+
+def stored_registers(spark: SparkSession, *stores: str) -> DataFrame:
+    """Register banks of everything that has arrived in one or several stores so far."""
+    paths = [path for store in stores for path in register_banks(spark, store)]
+    return spark.read.schema(schemas.REGISTERS).parquet(*paths) if paths else spark.createDataFrame([], schemas.REGISTERS)
+
+
+def stored_sketches(spark: SparkSession, *stores: str) -> DataFrame:
     """Sketches over everything that has arrived so far; the same as those of one batch run."""
-    return sketches_from_registers(merge_registers(spark.read.parquet(store)))
+    return sketches_from_registers(merge_registers(stored_registers(spark, *stores)))
+
+
+def _first_text(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first text in text order of a column that no earlier batch had; null only where there is no other."""
+    first = None
+    for frame in frames:
+        first = min([*frame["text"].dropna(), *([] if first is None else [first])], key=str.encode, default=None)
+    if not state.exists:
+        state.update((True,))
+        yield pd.DataFrame({"dataset_id": [key[0]], "column_name": [key[1]], "text": [first]}, dtype=object)
 
 
 def update_embeddings(
@@ -77,28 +157,38 @@ def update_embeddings(
     A column is known by dataset and name, so it does not matter which files of a dataset share a batch. Of several texts
     of one column in a batch the first in text order counts. Each checkpoint folder writes to a folder of its own below
     ``store``, so a new one adds to a store and replaces nothing in it.
+
+    The columns a checkpoint has seen are the state of its stream, so a batch looks up its own columns and reads nothing this checkpoint has
+    written; only what other checkpoints wrote to the store is read, keys alone. With many columns choose the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``), which keeps the state on disk.
     """
-    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    run = _run_name(checkpoint)
+    schema = "dataset_id string, column_name string, text string"
+    fresh = (
+        stream.select(*[F.col(name).cast("string").alias(name) for name in (*COLUMN_KEY, "text")])
+        .groupBy(*COLUMN_KEY)
+        .applyInPandasWithState(_first_text, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.groupBy(*COLUMN_KEY).agg(F.min("text").alias("text"))
-        done = _other_batches(batch.sparkSession, store, run, batch_id)
+        done = _other_runs(batch.sparkSession, store, run)
         if done is not None:
-            same = [fresh[c].eqNullSafe(done[f"done_{c}"]) for c in COLUMN_KEY]
-            fresh = fresh.join(done, same, "left_anti")
-        embed_columns(fresh, embedder).write.mode("overwrite").parquet(f"{store}/run={run}/batch_id={batch_id}")
+            same = [batch[c].eqNullSafe(done[f"done_{c}"]) for c in COLUMN_KEY]
+            batch = batch.join(done, same, "left_anti")
+        embed_columns(batch, embedder).write.mode("overwrite").parquet(f"{store}/run={run}/batch_id={batch_id}")
 
-    _run(stream, handle, checkpoint)
+    _run(fresh, handle, checkpoint)
 
 
-def _other_batches(spark: SparkSession, store: str, run: str, batch_id: int) -> DataFrame | None:
-    """Columns in the store but for those of this batch, which may be run a second time."""
-    try:
-        stored = spark.read.option("basePath", store).parquet(store)
-    except AnalysisException:  # nothing has been written yet
+def _other_runs(spark: SparkSession, store: str, run: str) -> DataFrame | None:
+    """Columns that other checkpoints have stored, None if there are no others."""
+    place, system = _file_system(spark, store)
+    runs = [s.getPath() for s in system.listStatus(place)] if system.exists(place) else []
+    others = [p.toString() for p in runs if p.getName().startswith("run=") and p.getName() != f"run={run}"]
+    if not others:
         return None
-    own = (F.col("run") == run) & (F.col("batch_id") == batch_id)
-    return stored.where(~own).select(*[F.col(c).alias(f"done_{c}") for c in COLUMN_KEY]).distinct()
+    stored = spark.read.schema(schemas.EMBEDDINGS).option("recursiveFileLookup", True).parquet(*others)
+    return stored.select(*[F.col(c).alias(f"done_{c}") for c in COLUMN_KEY]).distinct()
 
 
 def stored_embeddings(spark: SparkSession, store: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import pytest
+
 from lakeweave.operators.sketch import build_sketches
 from lakeweave.session import scratch_path
 from lakeweave.streaming import incremental as inc
@@ -30,6 +32,74 @@ def test_sketches_grow_with_the_lake(spark):
     assert sorted(inc.stored_sketches(spark, f"{base}/store").collect()) == sorted(build_sketches(whole).collect())
 
 
+def test_banks_are_folded_in_levels(spark):
+    base = scratch_path(spark, "stream")
+    parts = [[("a", "x", str(i)), ("a", f"c{i % 3}", str(i * i))] for i in range(9)]
+    for part in parts:
+        arrive(spark, f"{base}/in", part, CELLS)
+        inc.update_registers(stream(spark, f"{base}/in", CELLS), f"{base}/store", f"{base}/progress", fan=2)
+    # Nine batches: one bank of eight and one of one are read, whatever parts are still there.
+    names = [path.rsplit("/", 1)[1] for path in inc.register_banks(spark, f"{base}/store")]
+    assert names == ["batches=0-7", "batches=8-8"]
+    whole = spark.createDataFrame([row for part in parts for row in part], CELLS)
+    wanted = sorted(build_sketches(whole).collect())
+    assert sorted(inc.stored_sketches(spark, f"{base}/store").collect()) == wanted
+    # A second checkpoint over the same files adds banks of its own and changes no sketch.
+    inc.update_registers(stream(spark, f"{base}/in", CELLS, files=5), f"{base}/store", f"{base}/progress2", fan=2)
+    assert len(inc.register_banks(spark, f"{base}/store")) > 2
+    assert sorted(inc.stored_sketches(spark, f"{base}/store").collect()) == wanted
+
+
+def test_a_batch_run_again_is_counted_once(spark, monkeypatch):
+    base = scratch_path(spark, "stream")
+    parts = [[("a", "x", str(i))] for i in range(4)]
+    for part in parts[:3]:
+        arrive(spark, f"{base}/in", part, CELLS)
+    inc.update_registers(stream(spark, f"{base}/in", CELLS), f"{base}/store", f"{base}/progress", fan=2)
+    arrive(spark, f"{base}/in", parts[3], CELLS)
+    fold, calls = inc.merge_registers, []
+
+    def breaks(banks):
+        calls.append(1)
+        if len(calls) == 2:  # The bank of two batches is written, the one of four is not.
+            raise RuntimeError("lost")
+        return fold(banks)
+
+    monkeypatch.setattr(inc, "merge_registers", breaks)
+    with pytest.raises(Exception, match="lost"):
+        inc.update_registers(stream(spark, f"{base}/in", CELLS), f"{base}/store", f"{base}/progress", fan=2)
+    monkeypatch.setattr(inc, "merge_registers", fold)
+    whole = spark.createDataFrame([row for part in parts for row in part], CELLS)
+    assert sorted(inc.stored_sketches(spark, f"{base}/store").collect()) == sorted(build_sketches(whole).collect())
+    inc.update_registers(stream(spark, f"{base}/in", CELLS), f"{base}/store", f"{base}/progress", fan=2)
+    names = [path.rsplit("/", 1)[1] for path in inc.register_banks(spark, f"{base}/store")]
+    assert names == ["batches=0-3"]
+    assert sorted(inc.stored_sketches(spark, f"{base}/store").collect()) == sorted(build_sketches(whole).collect())
+
+
+def test_nothing_stored_is_an_empty_result(spark):
+    assert inc.stored_sketches(spark, scratch_path(spark, "stream")).count() == 0
+
+
+def test_batches_read_nothing_their_checkpoint_wrote(spark, monkeypatch):
+    base = scratch_path(spark, "stream")
+    schema = "dataset_id string, column_name string, text string"
+    seen = []
+    other = inc._other_runs
+    monkeypatch.setattr(inc, "_other_runs", lambda *a: seen.append(other(*a)) or seen[-1])
+    rows = [[("a", "x", "zeta"), ("a", "x", None), ("a", "x", "alpha"), (None, "n", None)], [("a", "x", "aa"), (None, "n", "late"), ("b", "y", "z")]]
+    for part in rows:
+        arrive(spark, f"{base}/in", part, schema)
+        inc.update_embeddings(stream(spark, f"{base}/in", schema), f"{base}/store", f"{base}/progress")
+    assert seen == [None, None]
+    found = {(r.dataset_id, r.column_name): r.embedding for r in inc.stored_embeddings(spark, f"{base}/store").collect()}
+    assert {("a", "x"), ("b", "y")} <= set(found)
+    from lakeweave.operators.similarity import embed_columns
+
+    wanted = embed_columns(spark.createDataFrame([("a", "x", "alpha")], schema)).collect()[0].embedding
+    assert found["a", "x"] == wanted
+
+
 def test_embedded_columns_are_skipped(spark):
     base = scratch_path(spark, "stream")
     schema = "dataset_id string, column_name string, text string"
