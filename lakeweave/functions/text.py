@@ -74,6 +74,7 @@ def scalar_text(column: Column, data_type: T.DataType) -> Column:
     return plain_number(text) if written_fraction(data_type) else text
 
 
+# The characters that the next two replace.
 def safe_alias(field: Column) -> Column:
     """Field name usable as an alias."""
     return F.translate(field, ":@-", "___")

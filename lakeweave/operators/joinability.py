@@ -13,7 +13,7 @@ blowing up where many columns share a value, all of them exact:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeweave.functions.estimator import (
@@ -26,6 +26,7 @@ from lakeweave.functions.estimator import (
 from lakeweave.operators.sketch import NUM_HASHES
 from lakeweave.session import materialize
 
+# Column names of a table of pairs.
 PAIR_COLUMNS = [
     "left_dataset",
     "left_column",
@@ -102,9 +103,11 @@ def _shared_tokens(classes: DataFrame, block: int) -> tuple[DataFrame, DataFrame
     return shared, frequency.where(split).select("position", "hash", all_slots.alias("slots"))
 
 
-def _candidates(classes: DataFrame, num_hashes: int, js_t: float, jc_t: float, block: int) -> DataFrame:
-    """Distinct class pairs ``(x, y)``, ``x < y``, holding every pair of classes that can pass."""
-    tokens, split_tokens = (materialize(part, label) for part, label in zip(_shared_tokens(classes, block), ("tokens", "split-tokens"), strict=True))
+def _candidates(tokens: DataFrame, split_tokens: DataFrame, num_hashes: int, js_t: float, jc_t: float) -> DataFrame:
+    """Distinct class pairs ``(x, y)``, ``x < y``, holding every pair of classes that can pass.
+
+    Tokens that are not split meet by position and hash alone, so tables bucketed by these are joined where they lie.
+    """
     needed_at = F.array(
         *[
             F.lit(matches_needed_value(2.0 ** (gap + 1), num_hashes, js_t, jc_t))
@@ -117,37 +120,32 @@ def _candidates(classes: DataFrame, num_hashes: int, js_t: float, jc_t: float, b
         gap = F.abs(level(other) - level(F.col("slot")))
         return F.col("rank") >= F.get(needed_at, gap) - 1
 
-    def side(prefix: str, partner: Column, low: str, high: str) -> DataFrame:
-        own = [F.col(c).alias(f"{prefix}_{c}") for c in ("class_id", "cardinality", "rank", "slot")]
-        whole = tokens.where(~F.col("split")).select(*own, "position", "hash", F.lit(0).cast("bigint").alias("partner"))
-        # Broadcast while the lists are small, which is the rule; beyond that a skewed token is cut by adaptive execution, its list has one row.
-        dealt = tokens.where("split").join(split_tokens, ["position", "hash"])
-        dealt = dealt.select(*own, "position", "hash", F.explode(F.filter(partner, useful)).alias("partner"))
-        return whole.unionByName(dealt).select(
-            "position",
-            "hash",
-            F.col(low.format(prefix)).alias("low"),
-            F.col(high.format(prefix)).alias("high"),
-            f"{prefix}_class_id",
-            f"{prefix}_cardinality",
-            f"{prefix}_rank",
-        )
-
-    lower = side("x", F.filter("slots", lambda s: s >= F.col("slot")), "{}_slot", "partner")
-    upper = side("y", F.filter("slots", lambda s: s <= F.col("slot")), "partner", "{}_slot")
-    size_x, size_y = F.col("x_cardinality"), F.col("y_cardinality")
-    ratio = F.greatest(size_x, size_y) / F.least(size_x, size_y)
-    met = lower.join(upper, ["position", "hash", "low", "high"]).where(
-        ((F.col("low") != F.col("high")) | (F.col("x_class_id") < F.col("y_class_id")))
-        & (F.least("x_rank", "y_rank") >= matches_needed(ratio, num_hashes, js_t, jc_t) - 1)
-    )
-    return met.select(
-        F.least("x_class_id", "y_class_id").alias("x"),
-        F.greatest("x_class_id", "y_class_id").alias("y"),
-    ).distinct()
+    def own(prefix: str, *names: str) -> list[Column]:
+        return [F.col(c).alias(f"{prefix}_{c}") for c in ("class_id", "cardinality", "rank", *names)]
 
+    def whole(prefix: str) -> DataFrame:
+        return tokens.where(~F.col("split")).select("position", "hash", *own(prefix))
 
-def _class_pairs(classes: DataFrame, num_hashes: int, js_t: float, jc_t: float, block: int) -> DataFrame:
+    def dealt(prefix: str, partner: Column, low: str, high: str) -> DataFrame:
+        # Broadcast while the lists are small, which is the rule; beyond that a skewed token is cut by adaptive execution, its list has one row.
+        met = tokens.where("split").join(split_tokens, ["position", "hash"])
+        met = met.select(*own(prefix, "slot"), "position", "hash", F.explode(F.filter(partner, useful)).alias("partner"))
+        return met.select("position", "hash", F.col(low.format(prefix)).alias("low"), F.col(high.format(prefix)).alias("high"), *[f"{prefix}_{c}" for c in ("class_id", "cardinality", "rank")])
+
+    lower = dealt("x", F.filter("slots", lambda s: s >= F.col("slot")), "{}_slot", "partner")
+    upper = dealt("y", F.filter("slots", lambda s: s <= F.col("slot")), "partner", "{}_slot")
+    in_order = F.col("x_class_id") < F.col("y_class_id")
+    ratio = F.greatest("x_cardinality", "y_cardinality") / F.least("x_cardinality", "y_cardinality")
+    enough = F.least("x_rank", "y_rank") >= matches_needed(ratio, num_hashes, js_t, jc_t) - 1
+    parts = [
+        whole("x").join(whole("y"), ["position", "hash"]).where(in_order & enough),
+        lower.join(upper, ["position", "hash", "low", "high"]).where(((F.col("low") != F.col("high")) | in_order) & enough),
+    ]
+    ends = [F.least("x_class_id", "y_class_id").alias("x"), F.greatest("x_class_id", "y_class_id").alias("y")]
+    return parts[0].select(*ends).unionByName(parts[1].select(*ends)).distinct()
+
+
+def _class_pairs(classes: DataFrame, tokens: DataFrame, split_tokens: DataFrame, num_hashes: int, js_t: float, jc_t: float) -> DataFrame:
     def as_side(prefix: str) -> DataFrame:
         return classes.select(
             F.col("class_id").alias(prefix),
@@ -158,7 +156,7 @@ def _class_pairs(classes: DataFrame, num_hashes: int, js_t: float, jc_t: float,
 
     sizes = ["x", "y", "x_cardinality", "y_cardinality", "x_members", "y_members"]
     verified = (
-        _candidates(classes, num_hashes, js_t, jc_t, block)
+        _candidates(tokens, split_tokens, num_hashes, js_t, jc_t)
         .join(as_side("x"), "x")
         .join(as_side("y"), "y")
         # A generator, so that the count is made once and not copied into every use of it.
@@ -277,13 +275,50 @@ def _dataset_edges(class_pairs: DataFrame, members: DataFrame, block: int) -> Da
     )
 
 
-def _checked_class_pairs(sketches: DataFrame, js_threshold: float, jc_threshold: float, num_hashes: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _check_thresholds(js_threshold: float, jc_threshold: float) -> None:
     for name, value in (("js_threshold", js_threshold), ("jc_threshold", jc_threshold)):
         if not 0 < value <= 1:
             raise ValueError(f"{name} must be above 0 and at most 1, not {value}")
+
+
+def _checked_class_pairs(sketches: DataFrame, js_threshold: float, jc_threshold: float, num_hashes: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    _check_thresholds(js_threshold, jc_threshold)
+    classes, members = signature_classes(sketches)
+    classes = materialize(classes, "classes")
+    tokens, split_tokens = _shared_tokens(classes, block)
+    tokens, split_tokens = materialize(tokens, "tokens"), materialize(split_tokens, "split-tokens")
+    return _class_pairs(classes, tokens, split_tokens, num_hashes, js_threshold, jc_threshold), classes, members
+
+
+def write_join_index(sketches: DataFrame, name: str, path: str, buckets: int = 64, block: int = BLOCK) -> None:
+    """Store what all joins of these sketches need, for any thresholds: tables ``name_tokens``, ``name_split``, ``name_classes``, ``name_members``.
+
+    Tokens are bucketed by position and hash and classes and members by class, one file a bucket below ``path``, so that
+    `indexed_pairs` joins them without shuffling them again. ``buckets`` should follow the size of the lake: some hundred MB a bucket.
+    An index of this name is replaced. Sketches may be empty.
+    """
     classes, members = signature_classes(sketches)
     classes = materialize(classes, "classes")
-    return _class_pairs(classes, num_hashes, js_threshold, jc_threshold, block), classes, members
+    tokens, split_tokens = _shared_tokens(classes, block)
+    by_token, by_class = ["position", "hash"], ["class_id"]
+    for part, frame, keys in (("tokens", tokens, by_token), ("split", split_tokens, by_token), ("classes", classes, by_class), ("members", members, by_class)):
+        dealt = frame.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+        dealt.mode("overwrite").option("path", f"{path}/{part}").saveAsTable(f"{name}_{part}")
+
+
+def indexed_pairs(
+    spark: SparkSession,
+    name: str,
+    js_threshold: float = 0.3,
+    jc_threshold: float = 0.5,
+    num_hashes: int = NUM_HASHES,
+    block: int = BLOCK,
+) -> DataFrame:
+    """`joinable_pairs` from an index of `write_join_index`, made once and read for any thresholds."""
+    _check_thresholds(js_threshold, jc_threshold)
+    tokens, split_tokens, classes, members = (spark.table(f"{name}_{part}") for part in ("tokens", "split", "classes", "members"))
+    pairs = _class_pairs(classes, tokens, split_tokens, num_hashes, js_threshold, jc_threshold)
+    return _expand(pairs, classes, members, block)
 
 
 def joinable_pairs(

@@ -300,6 +300,7 @@ def recency_histogram(records: DataFrame) -> DataFrame:
     return bucket_histogram(records, F.col("updated_days_ago"), B.RECENCY, outside=True)
 
 
+# Labels of the coverage report.
 FLAGS = {
     "has_location_column": "With location columns",
     "has_date_column": "With date/datetime columns",

@@ -6,6 +6,7 @@ each order is a dataset, its customer's nation the domain, and counts and dates
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from lakeweave.functions import buckets as B
 from lakeweave.functions import hashing
 from lakeweave.functions.text import page_title, safe_alias, safe_domain
 from lakeweave.operators import graph, profile, resume, similarity, sketch, stats, summary
-from lakeweave.operators.joinability import joinable_datasets, joinable_pairs, rank_pairs
+from lakeweave.operators.joinability import indexed_pairs, joinable_datasets, joinable_pairs, rank_pairs, write_join_index
 from lakeweave.plans.catalog import domain_summaries, profiled_records
 from lakeweave.plans.joinability import lake_sketches, landed_sketches
 from lakeweave.plans.similarity import alike_columns
@@ -77,6 +78,14 @@ def joinable_columns(spark, d):
     return rank_pairs(pairs(spark, d))
 
 
+@query
+def indexed_joinable_columns(spark, d):
+    """As `joinable_columns`, from a bucketed index that serves any thresholds."""
+    name = f"lake_{uuid.uuid4().hex}"
+    write_join_index(sketches(spark, d), name, scratch_path(spark, "index"), buckets=8)
+    return rank_pairs(indexed_pairs(spark, name))
+
+
 @query
 def joinable_preview(spark, d):
     return rank_pairs(pairs(spark, d), 100)

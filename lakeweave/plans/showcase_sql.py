@@ -20,6 +20,7 @@ SQL: dict[str, str] = {}
 # --- columns, sketches, joinability -------------------------------------------------------------------
 
 SQL["joinable_columns"] = pairs_sql("SELECT * FROM pairs")
+SQL["indexed_joinable_columns"] = SQL["joinable_columns"]
 SQL["joinable_preview"] = pairs_sql(
     """SELECT * FROM pairs ORDER BY jc_left_in_right DESC, jc_right_in_left DESC, js DESC,
        left_dataset, left_column, right_dataset, right_column LIMIT 100"""

@@ -185,9 +185,10 @@ def test_hot_tokens_make_few_candidates(spark):
         rows.append((f"d{i}", "c", signature, 740 + i % 60))
     classes, _ = signature_classes(spark.createDataFrame(rows, SCHEMA))
     classes = materialize(classes, "test")
-    assert _candidates(classes, 128, 0.3, 0.5, 64).count() < 40
+    tokens = [materialize(part, "test") for part in _shared_tokens(classes, 64)]
+    assert _candidates(*tokens, 128, 0.3, 0.5).count() < 40
     # With low thresholds nearly all of the 79,800 pairs have to be looked at.
-    assert _candidates(classes, 128, 0.01, 0.01, 64).count() > 70_000
+    assert _candidates(*tokens, 128, 0.01, 0.01).count() > 70_000
 
 
 @pytest.mark.parametrize("family", ["sha1", "xxhash64", "md5"])
@@ -203,3 +204,31 @@ def test_columns_of_all_hash_families(spark, family):
     wanted = plain.joinable(sketches)
     assert wanted
     agree(run(spark, sketches), wanted)
+
+
+def test_an_index_serves_any_thresholds_without_a_shuffle_of_its_tokens(spark):
+    import re
+    import uuid
+
+    from lakeweave.operators.joinability import indexed_pairs, write_join_index
+    from lakeweave.session import scratch_path
+
+    # One value in all columns, so that its tokens are split at blocks of 4; neighbours share most values, every third column is a copy.
+    rows = [(f"d{i % 7}", f"c{i}", v) for i in range(40) for v in ["all", *(str(k) for k in range(i - i % 3, i - i % 3 + 12))]]
+    sketches = materialize(build_sketches(spark.createDataFrame(rows, "dataset_id string, column_name string, value string")), "sketches")
+    name = f"index_{uuid.uuid4().hex}"
+    write_join_index(sketches, name, scratch_path(spark, "index"), buckets=3, block=4)
+    for thresholds in ((0.3, 0.5), (0.7, 0.9), (1.0, 1.0)):
+        wanted = sorted(joinable_pairs(sketches, *thresholds).collect())
+        assert wanted and sorted(indexed_pairs(spark, name, *thresholds, block=4).collect()) == wanted
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = indexed_pairs(spark, name)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert re.search(r"SortMergeJoin \[position#\d+, hash#\d+L?\]", plan)
+    assert not re.search(r"hashpartitioning\(position#\d+, hash#\d+L?, \d+\)", plan)
+    # An index of no sketches has no pairs.
+    write_join_index(sketches.limit(0), name, scratch_path(spark, "index"), buckets=3)
+    assert indexed_pairs(spark, name).count() == 0
