@@ -8,6 +8,7 @@ after a failure replaces its own output and nothing is counted twice.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -41,6 +42,19 @@ def file_stream(
     )
 
 
+def table_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
+    """Rows of the parquet table at ``path`` as they arrive, whether it is one file or a folder of files.
+
+    A name pattern is held against files and not against the folder they are in, so a folder is the place of the stream itself, and a
+    single file is looked for by its name in the folder it stands in.
+    """
+    place, system = _file_system(spark, path)
+    if system.getFileStatus(place).isDirectory():
+        return file_stream(spark, path, schema, files_per_batch=files_per_batch)
+    name = re.sub(r"([\\{}\[\]*?])", r"\\\1", place.getName())
+    return file_stream(spark, place.getParent().toString(), schema, name, files_per_batch)
+
+
 def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     (
         stream.writeStream.foreachBatch(handle)
