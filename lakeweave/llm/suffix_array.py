@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from lakeweave.llm.common import documents_of, keyed, materialize
 from lakeweave.llm.tokens import slices
 from lakeweave.llm.words import BASE, BYTE_VALUE, mixed, pair_hash
+from lakeweave.session import give_back_shuffles
 
 #: Windows of a text that are worked on at a time, and bits for a place in such a piece.
 PIECE = 1 << 20
@@ -311,6 +312,12 @@ def _by_text(batches):
             yield pa.RecordBatch.from_arrays([pa.array(rows[first, 0]), pa.array(data, pa.binary())], names=["row_key", "parts"])
 
 
+def _verdicts(texts: DataFrame, length: int, buckets: int) -> DataFrame:
+    """The few runs that are not settled as unique, written, so that the shuffle of all anchors can go before the texts are shuffled."""
+    anchors = texts.mapInArrow(_first_pass(length, buckets), PACKED).repartition("bucket")
+    return materialize(anchors.mapInArrow(_sort_anchors, "row_key long, entry long"), "verdicts")
+
+
 def repeated_windows(texts: DataFrame, key: str, length: int = 200, text_col: str = "text") -> DataFrame:
     """For each text with repeats the list of its repeated windows (``row_key``, ``parts``: start and number in 32 bits each).
 
@@ -321,8 +328,8 @@ def repeated_windows(texts: DataFrame, key: str, length: int = 200, text_col: st
         raise ValueError("length must lie between 16 and 4096")
     spark = texts.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = texts.select(key, text_col).mapInArrow(_first_pass(length, buckets), PACKED).repartition("bucket")
-    verdicts = anchors.mapInArrow(_sort_anchors, "row_key long, entry long").groupBy("row_key").agg(F.collect_list("entry").alias(f"{key}_entries"))
+    verdicts = _verdicts(texts.select(key, text_col), length, buckets).groupBy("row_key").agg(F.collect_list("entry").alias(f"{key}_entries"))
+    give_back_shuffles(spark)
     asked = texts.join(verdicts.withColumnRenamed("row_key", key).hint("shuffle_hash"), key)
     rest = [F.col(f"`{c}`") for c in texts.columns if c not in (key, text_col)]
     windows = asked.select(key, text_col, f"{key}_entries", *rest).mapInArrow(_second_pass(length, buckets), PACKED).repartition("bucket")
