@@ -1,6 +1,7 @@
 """SHA-1 over many short values at once, and the fold of their hashes to register banks, with numpy inside the tasks that Spark forms.
 
-A task takes batches of ``(dataset_id, column_name, value)`` and gives one bank a column, so none of the 129 hashes of a value becomes a row.
+A task takes batches of ``(dataset_id, column_name, value)`` and gives one bank a column, so none of the 129 hashes of a value becomes a row. A value that
+several columns have is hashed once for all of them where they come side by side.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from lakeweave.functions.hashing import CARDINALITY_SEED, minhash_seeds
 
@@ -19,8 +21,8 @@ _ROUNDS = (0x5A827999, 0x6ED9EBA1, 0x8F1BBCDC, 0xCA62C1D6)
 _BLOCK_BYTES = 64
 # Values of more blocks go one by one to the library's function, which then spends its time on the bytes and not on the call.
 _BLOCKS = 3
-# Values that are gathered, and how many of them are hashed at once; bytes that are gathered, and columns whose banks are held before they are sent on.
-_GATHERED = 30_000
+# Rows that are gathered, and how many different values of them are hashed at once; bytes that are gathered, and columns whose banks are held before they are sent on.
+_GATHERED = 80_000
 _AT_ONCE = 40_000
 _GATHERED_BYTES = 16 << 20
 _HELD_COLUMNS = 1_024
@@ -140,14 +142,15 @@ class _Banks:
         order = np.argsort(codes, kind="stable")
         found, first, counts = np.unique(codes[order], return_index=True, return_counts=True)
         keys = [(names[0].dictionary[c // width].as_py(), names[1].dictionary[c % width].as_py()) for c in found.tolist()]
-        values = batch.column(2).combine_chunks().take(pa.array(order))
+        values = batch.column(2).combine_chunks().dictionary_encode()
+        of_row = values.indices.to_numpy(zero_copy_only=False)[order]
         folded = np.zeros((len(found), self.num_hashes + (1 << self.precision)), np.int64)
-        for place, bits in sha1_bits(values, self.seeds):
+        for place, bits in sha1_bits(values.dictionary, self.seeds):
             if place < self.num_hashes:
-                folded[:, place] = (np.minimum.reduceat(bits, first) ^ _SIGN).view(np.int64)
+                folded[:, place] = (np.minimum.reduceat(bits[of_row], first) ^ _SIGN).view(np.int64)
             else:
                 slots = self.num_hashes + (bits & np.uint64((1 << self.precision) - 1)).astype(np.int64)
-                np.minimum.at(folded, (np.repeat(np.arange(len(found)), counts), slots), -_ranks(bits, self.precision))
+                np.minimum.at(folded, (np.repeat(np.arange(len(found)), counts), slots[of_row]), -_ranks(bits, self.precision)[of_row])
         for key, bank in zip(keys, folded, strict=True):
             self.held[key] = np.minimum(self.held[key], bank) if key in self.held else bank.copy()
 
@@ -169,7 +172,8 @@ def fold_sha1(num_hashes: int, precision: int) -> Callable[[Iterator[pa.RecordBa
         banks, waiting, rows, size = _Banks(num_hashes, precision), [], 0, 0
 
         def work_off() -> None:
-            gathered, share = pa.Table.from_batches(waiting), -(-rows // -(-rows // _AT_ONCE))
+            gathered = pa.Table.from_batches(waiting)
+            share = -(-rows // -(-pc.count_distinct(gathered.column(2)).as_py() // _AT_ONCE))
             for start in range(0, rows, share):
                 banks.add(gathered.slice(start, share))
 

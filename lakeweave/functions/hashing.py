@@ -45,17 +45,17 @@ def hashed_once(value: Column, family: str) -> Column:
     return F.struct((digits(1, 8) % PRIME).alias("low"), (digits(9, 8) % PRIME).alias("high"), digits(17, 16).alias("bits"))
 
 
-def seed_array(num_hashes: int, family: str) -> Column:
-    """The MinHash seeds and, last, the cardinality seed, as an array literal."""
+def seed_list(num_hashes: int, family: str) -> list[Column]:
+    """The MinHash seeds and, last, the cardinality seed, as literals."""
     if family == "md5":
         # Without factors: the bits of the digest itself.
         rows = [*(factors(k) for k in range(num_hashes)), [CARDINALITY_SEED] * len(FACTORS)]
-        return F.array(*[F.struct(*[F.lit(x).cast("bigint").alias(n) for n, x in zip(FACTORS, row, strict=True)]) for row in rows])
+        return [F.struct(*[F.lit(x).cast("bigint").alias(n) for n, x in zip(FACTORS, row, strict=True)]) for row in rows]
     seeds = minhash_seeds(num_hashes) + [CARDINALITY_SEED]
     if family == "sha1":
-        return F.array(*[F.lit(f"{s}:") for s in seeds])
+        return [F.lit(f"{s}:") for s in seeds]
     if family == "xxhash64":
-        return F.array(*[F.lit(s - 2**64 if s >= 2**63 else s).cast("bigint") for s in seeds])
+        return [F.lit(s - 2**64 if s >= 2**63 else s).cast("bigint") for s in seeds]
     raise ValueError(f"hash family must be one of {HASH_FAMILIES}, not {family!r}")
 
 

@@ -16,13 +16,12 @@ from lakeweave.operators.sketch import build_sketches
 from lakeweave.operators.stats import equal_width_histogram
 from lakeweave.session import materialize
 from lakeweave.sources.lake import WHOLE_BYTES, boolean_columns, cells_of_rows, read_rows, without_columns
-from lakeweave.sources.tables import cells_from_tables, read_tables
+from lakeweave.sources.tables import distinct_cells, read_tables
 
 
 def lake_sketches(spark: SparkSession, directory: str, names, **options) -> DataFrame:
     """Stored sketches of all columns of the named tables."""
-    tables = read_tables(spark, directory, names)
-    cells = cells_from_tables(tables, plain=False)
+    cells = distinct_cells(read_tables(spark, directory, names))
     return materialize(build_sketches(cells, **options), "sketches")
 
 
