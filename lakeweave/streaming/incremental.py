@@ -113,7 +113,7 @@ def update_registers(stream: DataFrame, store: str, checkpoint: str, family: str
             place, system = _file_system(spark, before.pop(bounds))
             system.delete(place, True)
         bank = lambda first: f"{run}/batches={first}-{batch_id}"
-        registers(distinct_values(batch), family=family).write.mode("overwrite").parquet(bank(batch_id))
+        registers(distinct_values(batch), family=family, by_value=True).write.mode("overwrite").parquet(bank(batch_id))
         width = fan
         while (batch_id + 1) % width == 0:
             first, part = batch_id + 1 - width, width // fan
