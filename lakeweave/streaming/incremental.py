@@ -25,6 +25,7 @@ from lakeweave.operators.sketch import (
     registers,
     sketches_from_registers,
 )
+from lakeweave.session import shuffles_end_with_the_write
 
 FAN = 8
 
@@ -94,7 +95,7 @@ def _widest(banks: dict[tuple[int, int], str]) -> list[tuple[int, int]]:
 
 
 def update_registers(stream: DataFrame, store: str, checkpoint: str, family: str = "sha1", fan: int = FAN) -> None:
-    """Fold the new cells of ``stream(dataset_id, column_name, value)`` into the register store.
+    """Fold the new cells of ``stream(dataset_id, column_name, value)``, or of `sources.tables.typed_cells`, into the register store.
 
     Only the registers of the batch are written. They merge with the earlier ones by minimum, so the stream itself keeps no state,
     however many columns there are. Every ``fan`` banks of one size are folded into one of the next size, so after n batches a read folds
@@ -113,7 +114,8 @@ def update_registers(stream: DataFrame, store: str, checkpoint: str, family: str
             place, system = _file_system(spark, before.pop(bounds))
             system.delete(place, True)
         bank = lambda first: f"{run}/batches={first}-{batch_id}"
-        registers(distinct_values(batch), family=family, by_value=True).write.mode("overwrite").parquet(bank(batch_id))
+        with shuffles_end_with_the_write(spark):
+            registers(distinct_values(batch), family=family, by_value=True).write.mode("overwrite").parquet(bank(batch_id))
         width = fan
         while (batch_id + 1) % width == 0:
             first, part = batch_id + 1 - width, width // fan
